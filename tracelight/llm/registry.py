@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.llm import mixing, simhash, urls
+from tracelight.llm import chat, html, langid, mixing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op3_language_id": langid.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_html_extraction": html.op8_html_extraction,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filters": urls.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op10_chat_formatting": chat.OP10_SQL,
 }
