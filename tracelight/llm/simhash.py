@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelight.llm.common import components, cut, table, with_ids
 
@@ -104,6 +105,13 @@ def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
+def rooted_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (the component's smallest fingerprint) of the distinct ones in ``fps``."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(linked_pairs(nodes.select("fp"), max_bits))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -114,9 +122,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
     no rows give no rows; extra columns are ignored.
     """
     fps = cut(fingerprints(docs, words_per_shingle, seed))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(linked_pairs(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = rooted_fingerprints(fps, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = rooted.join(smallest, "root").select(F.col("fp").alias("member_fp"), "component_id")
     return fps.join(member, fps.fp == member.member_fp).select(
@@ -124,5 +130,40 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
     )
 
 
+def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one stays per component: that of the smallest id (null last).
+
+    Ids of rows that go are found on narrow rows and anti-joined, so texts are
+    shuffled once at most. Ids that several rows share, and null ids, can't tell
+    rows apart; such rows only are fingerprinted again and told apart by
+    id and fingerprint, and of rows with both in common one stays.
+    """
+    fps = cut(fingerprints(docs, words_per_shingle, seed))
+    rooted = rooted_fingerprints(fps, max_bits)
+    # null ids stand after all others
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "fp")).alias("x"))
+    stays = first.select(F.col("x.id").alias("kept_id"), F.col("x.fp").alias("kept_fp"))
+    both = fps.doc_id.eqNullSafe(stays.kept_id) & (fps.fp == stays.kept_fp)
+    marked = fps.join(stays, both, "left").select("doc_id", "fp", F.col("kept_fp").isNotNull().alias("kept"))
+    by_id = cut(marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    unclear = by_id.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other_id"))
+    gone = by_id.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("other_id"))
+    clear = docs.where(F.col("doc_id").isNotNull()).join(gone, docs.doc_id == gone.other_id, "left_anti")
+    again = docs.join(unclear, docs.doc_id.eqNullSafe(unclear.other_id), "left_semi")
+    own = "fp_of_row"
+    while own in docs.columns:
+        own += "_"
+    at = docs.columns.index("text")
+
+    def batches(it):
+        for batch in it:
+            fp = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in batch.column(at).to_pylist()), np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
+
+    again = again.mapInArrow(batches, T.StructType([*docs.schema, T.StructField(own, T.LongType())]))
+    again = again.join(stays, again.doc_id.eqNullSafe(stays.kept_id) & (again[own] == stays.kept_fp), "left_semi")
+    return clear.unionByName(again.dropDuplicates(["doc_id", own]).drop(own))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
