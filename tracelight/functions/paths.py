@@ -86,12 +86,12 @@ def walk(steps: tuple, schema: Schema, base: Column, leaf: Leaf, within: tuple[s
             names, known, i = [], False, i + 1
         else:
             rest, inside = steps[i:], tuple(names)
-            if rest:
-                found = F.exists(elements(at.value), lambda x: walk(rest, schema, x, leaf, inside))
-            else:
-                found = F.exists(elements(at.value), lambda x, f=field: leaf(x, f))
+
+            def of_element(x: Column, field: Field = field) -> Column:
+                return walk(rest, schema, x, leaf, inside) if rest else leaf(x, field)
+
             # none of no elements, and of a missing field
-            return F.coalesce(found, F.lit(False))
+            return F.coalesce(F.exists(elements(at.value), lambda x: of_element(x)), F.lit(False))
     return leaf(at.value, schema.lookup(".".join(names)) if names else None)
 
 
