@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracelight.errors import CompileError
 from tracelight.functions.paths import asked_of, exists, single
 from tracelight.functions.schema import Field, Schema
-from tracelight.functions.values import cast_text, literal_as, literal_text, text_of
+from tracelight.functions.values import Node, literal_as, literal_text
 from tracelight.plans.nodes import All, Call, Comparison, Either, ListColumn, Not, Path, Placeholder, Value
 
 OPERATORS: dict[str, Callable[[Any, Any], Column]] = {
@@ -27,8 +27,8 @@ class Context:
     """What names mean while a query or rule is compiled."""
 
     schema: Schema
-    #: the variant document of an event
-    base: Column
+    #: the document of an event
+    base: Node
     placeholders: dict[str, Any] = field(default_factory=dict)
     parameters: dict[str, str] = field(default_factory=dict)
     #: values of a reference list's column
@@ -40,14 +40,14 @@ class Operand:
     """One side of a comparison that isn't asked of a field's elements: a literal or a single value."""
 
     literal: Any = None
-    value: Column | None = None
+    value: Node | None = None
     field: Field | None = None
 
     def cast(self, kind: str) -> Column:
-        return literal_as(self.literal, kind) if self.value is None else cast_text(text_of(self.value), kind)
+        return literal_as(self.literal, kind) if self.value is None else self.value.cast(kind)
 
     def text(self) -> Column:
-        return F.lit(literal_text(self.literal)) if self.value is None else text_of(self.value)
+        return F.lit(literal_text(self.literal)) if self.value is None else self.value.text()
 
     def typed(self) -> Column:
         return self.cast(self.field.kind if self.field else "string")
@@ -104,12 +104,12 @@ def comparison(x: Comparison, context: Context) -> Column:
         return compare(left.cast(kind), right.cast(kind))
     against = operand(other, context)
 
-    def leaf(value: Column, found: Field | None) -> Column:
+    def leaf(value: Node, found: Field | None) -> Column:
         check_enum(found, other, context.schema)
         if x.nocase:
-            own, theirs = F.lower(text_of(value)), F.lower(against.text())
+            own, theirs = F.lower(value.text()), F.lower(against.text())
         else:
-            own = cast_text(text_of(value), found.kind if found else "string")
+            own = value.cast(found.kind if found else "string")
             known = found or against.field
             theirs = against.cast(known.kind if known else "string")
         return compare(own, theirs) if asked is x.left else compare(theirs, own)
@@ -123,8 +123,8 @@ def matches(pattern: Value, asked: Any, x: Comparison, context: Context) -> Colu
         raise CompileError("a regular expression is compared with a field")
     expression = ("(?i)" if x.nocase else "") + pattern.value
 
-    def leaf(value: Column, found: Field | None) -> Column:
-        hit = text_of(value).rlike(expression)
+    def leaf(value: Node, found: Field | None) -> Column:
+        hit = value.text().rlike(expression)
         return ~hit if x.op == "!=" else hit
 
     return asked_of(asked, context.schema, context.base, leaf)
@@ -138,8 +138,8 @@ def in_list(x: Comparison, context: Context) -> Column:
     # without a column nothing is in the list
     values = list(context.list_values(x.right.name, x.right.column)) if x.right.column else []
 
-    def leaf(value: Column, found: Field | None) -> Column:
-        text = cast_text(text_of(value), found.kind if found else "string").cast("string")
+    def leaf(value: Node, found: Field | None) -> Column:
+        text = value.cast(found.kind if found else "string").cast("string")
         return F.coalesce(text.isin(values), F.lit(False)) if values else F.lit(False)
 
     return asked_of(x.left, context.schema, context.base, leaf)

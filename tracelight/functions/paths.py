@@ -1,4 +1,4 @@
-"""Field paths as columns over a variant document.
+"""Field paths as columns over an event document.
 
 A repeated field that no index or key follows stands for any of its elements: what
 follows is asked of each, and one is enough. That makes a path a condition, so
@@ -16,46 +16,20 @@ from pyspark.sql import functions as F
 
 from tracelight.errors import CompileError
 from tracelight.functions.schema import GROUPED, STRUCT, Field, Schema
-from tracelight.functions.values import elements, text_of
+from tracelight.functions.values import Node
 from tracelight.plans.nodes import Key, Path
 
-#: Gets the value where the path ends, as a variant, and its field if the schema knows it.
-Leaf = Callable[[Column, Field | None], Column]
+#: Gets the place where the path ends, and its field if the schema knows it.
+Leaf = Callable[[Node, Field | None], Column]
 
 
-class Steps:
-    """A variant column and the plain steps from it that haven't been taken yet, so that they are taken at once."""
-
-    def __init__(self, base: Column, path: str = "$"):
-        self.base, self.path = base, path
-
-    def name(self, name: str) -> Steps:
-        if any(c in name for c in "\"'\\]"):
-            # no quoted form holds it
-            return Steps(F.element_at(F.try_variant_get(self.value, "$", "map<string,variant>"), F.lit(name)))
-        return Steps(self.base, f"{self.path}['{name}']")
-
-    def index(self, i: int) -> Steps:
-        return Steps(self.base, f"{self.path}[{i}]")
-
-    @property
-    def value(self) -> Column:
-        return self.base if self.path == "$" else F.try_variant_get(self.base, self.path, "variant")
-
-
-def labelled(values: Column, key: str) -> Column:
-    """The value of the first ``{key, value}`` element with the key."""
-    same = F.filter(elements(values), lambda x: F.try_variant_get(x, "$.key", "string") == F.lit(key))
-    return F.try_variant_get(F.get(same, F.lit(0)), "$.value", "variant")
-
-
-def walk(steps: tuple, schema: Schema, base: Column, leaf: Leaf, within: tuple[str, ...] = ()) -> Column:
+def walk(steps: tuple, schema: Schema, base: Node, leaf: Leaf, within: tuple[str, ...] = ()) -> Column:
     """``leaf`` asked of the value at the end of a path.
 
     Names are checked against the schema as long as the path is inside it;
     what stands behind a key isn't, and is text. ``within`` is the path of ``base`` itself.
     """
-    at, names, known = Steps(base), list(within), True
+    at, names, known = base, list(within), True
     i = 0
     while i < len(steps):
         step, after = steps[i], steps[i + 1] if i + 1 < len(steps) else None
@@ -64,7 +38,7 @@ def walk(steps: tuple, schema: Schema, base: Column, leaf: Leaf, within: tuple[s
             at, i = at.index(step), i + 1
             continue
         if isinstance(step, Key):
-            at = Steps(labelled(at.value, step.text)) if here and here.repeated else at.name(step.text)
+            at = at.labelled(step.text) if here and here.repeated else at.name(step.text)
             names, known, i = [], False, i + 1
             continue
         if step == "fields" and here is not None and here.type == STRUCT and isinstance(after, Key):
@@ -82,51 +56,51 @@ def walk(steps: tuple, schema: Schema, base: Column, leaf: Leaf, within: tuple[s
         if isinstance(after, int):
             at, i = at.index(after), i + 1
         elif isinstance(after, Key):
-            at = Steps(labelled(at.value, after.text))
+            at = at.labelled(after.text)
             names, known, i = [], False, i + 1
         else:
             rest, inside = steps[i:], tuple(names)
+            values, kind = at.elements()
 
-            def of_element(x: Column, field: Field = field) -> Column:
-                return walk(rest, schema, x, leaf, inside) if rest else leaf(x, field)
+            def of_element(x: Column, field: Field = field, kind=kind) -> Column:
+                return walk(rest, schema, Node(x, kind), leaf, inside) if rest else leaf(Node(x, kind), field)
 
             # none of no elements, and of a missing field
-            return F.coalesce(F.exists(elements(at.value), lambda x: of_element(x)), F.lit(False))
-    return leaf(at.value, schema.lookup(".".join(names)) if names else None)
+            return F.coalesce(F.exists(values, lambda x: of_element(x)), F.lit(False))
+    return leaf(at, schema.lookup(".".join(names)) if names else None)
 
 
-def asked_of(path: Path, schema: Schema, base: Column, leaf: Leaf) -> Column:
+def asked_of(path: Path, schema: Schema, base: Node, leaf: Leaf) -> Column:
     """A condition on a field; on a grouped name, on any of the fields that it stands for."""
     if len(path.steps) == 1 and path.steps[0] in GROUPED:
         return reduce(or_, [walk(tuple(p.split(".")), schema, base, leaf) for p in GROUPED[path.steps[0]]])
     return walk(path.steps, schema, base, leaf)
 
 
-def exists(value: Column, field: Field | None) -> Column:
+def exists(value: Node, field: Field | None) -> Column:
     """Whether a field is there and not empty."""
-    text = text_of(value)
+    text = value.text()
     return text.isNotNull() & (text != "")
 
 
-def single(path: Path, schema: Schema, base: Column) -> tuple[Column, Field | None]:
-    """A field as one value, a variant. A repeated field without index or key, and a grouped name, have no single value."""
-    found: list[tuple[Column, Field | None]] = []
+def single(path: Path, schema: Schema, base: Node) -> tuple[Node, Field | None]:
+    """A field as one value. A repeated field without index or key, and a grouped name, have no single value."""
+    found: list[tuple[Node, Field | None]] = []
 
-    def leaf(value: Column, field: Field | None) -> Column:
+    def leaf(value: Node, field: Field | None) -> Column:
         found.append((value, field))
-        return value
+        return value.column
 
     if len(path.steps) == 1 and path.steps[0] in GROUPED:
         raise CompileError(f"{path.steps[0]!r} stands for several fields and has no single value")
-    plain = True
-    for n in range(1, len(path.steps) + 1):
-        names = path.steps[:n]
-        if any(not isinstance(s, str) for s in names[-1:]):
-            continue
-        field = schema.lookup(".".join(s for s in names if isinstance(s, str))) if all(not isinstance(s, Key) for s in names) else None
-        if field is not None and field.repeated and (n == len(path.steps) or isinstance(path.steps[n], str)):
-            plain = False
-    if not plain:
-        raise CompileError(f"{path.alias!r} is repeated and has no single value; give an index or a key")
+    names: list[str] = []
+    for step, after in zip(path.steps, [*path.steps[1:], None]):
+        if isinstance(step, Key):
+            break
+        if isinstance(step, str):
+            names.append(step)
+            field = schema.lookup(".".join(names))
+            if field is not None and field.repeated and not isinstance(after, (int, Key)):
+                raise CompileError(f"{field.path!r} is repeated and has no single value; give an index or a key")
     walk(path.steps, schema, base, leaf)
     return found[-1]

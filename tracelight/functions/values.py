@@ -1,4 +1,4 @@
-"""Values of variant documents as typed columns, cast by fixed rules.
+"""Values of event documents as typed columns, cast by fixed rules.
 
 A value goes through its text: a missing one and a JSON null are NULL. Text that
 is no integer is rounded where an integer is wanted (halves away from zero),
@@ -9,19 +9,15 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelight.errors import CompileError
 
 INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
 
 
-def text_of(value: Column) -> Column:
-    """A variant as text."""
-    return F.try_variant_get(value, "$", "string")
-
-
 def cast_text(text: Column, kind: str) -> Column:
     if kind == "string":
         return text
@@ -32,13 +28,87 @@ def cast_text(text: Column, kind: str) -> Column:
     return text.cast(kind)
 
 
-def elements(value: Column) -> Column:
-    """What a repeated field holds, as an array: a list's elements, an object's values, a single value alone; NULL if it is missing."""
-    return F.coalesce(
-        F.try_variant_get(value, "$", "array<variant>"),
-        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")),
-        F.when(value.isNotNull(), F.array(value)),
-    )
+#: Kinds that columns of a type hold as they are, and those that are widened to one.
+NATIVE = {"string": "string", "boolean": "boolean", "bigint": "bigint", "double": "double", "timestamp_ntz": "timestamp_ntz"}
+WIDENED = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
+
+
+class Node:
+    """A place in an event document: a column, and its type where the document is a struct; none where it is a variant.
+
+    Steps into a variant are collected and taken at once. Steps into a struct
+    are plain column access, which the optimizer prunes and pushes down to the files.
+    """
+
+    def __init__(self, column: Column, kind: T.DataType | None = None, path: str = "$"):
+        self.base, self.kind, self.path = column, kind, path
+
+    @property
+    def column(self) -> Column:
+        return self.base if self.path == "$" else F.try_variant_get(self.base, self.path, "variant")
+
+    def name(self, name: str) -> Node:
+        if isinstance(self.kind, T.StructType):
+            inner = next((f for f in self.kind.fields if f.name == name), None)
+            return missing() if inner is None else Node(self.base.getField(name), inner.dataType)
+        if isinstance(self.kind, T.MapType):
+            return Node(F.try_element_at(self.base, F.lit(name)), self.kind.valueType)
+        if self.kind is not None:
+            return missing()
+        if any(c in name for c in "\"'\\]"):
+            # no quoted form holds it
+            return Node(F.try_element_at(F.try_variant_get(self.column, "$", "map<string,variant>"), F.lit(name)))
+        return Node(self.base, None, f"{self.path}['{name}']")
+
+    def index(self, i: int) -> Node:
+        if isinstance(self.kind, T.ArrayType):
+            return Node(F.get(self.base, F.lit(i)), self.kind.elementType)
+        return Node(self.base, None, f"{self.path}[{i}]") if self.kind is None else missing()
+
+    def elements(self) -> tuple[Column, T.DataType | None]:
+        """What a repeated field holds, as an array: a list's elements, a variant object's values, a single value alone; NULL if it is missing."""
+        if isinstance(self.kind, T.ArrayType):
+            return self.base, self.kind.elementType
+        value = self.column
+        alone = F.when(value.isNotNull(), F.array(value))
+        if self.kind is not None:
+            return alone, self.kind
+        listed = F.try_variant_get(value, "$", "array<variant>")
+        return F.coalesce(listed, F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), alone), None
+
+    def labelled(self, key: str) -> Node:
+        """The value of the first ``{key, value}`` element with the key."""
+        values, kind = self.elements()
+        hit = F.get(F.filter(values, lambda x: Node(x, kind).name("key").text() == F.lit(key)), F.lit(0))
+        return Node(Node(hit, kind).name("value").column, None if kind is None else Node(hit, kind).name("value").kind)
+
+    def text(self) -> Column:
+        """As text; a missing value and a JSON null are NULL."""
+        if self.kind is None:
+            return F.try_variant_get(self.base, self.path, "string")
+        if isinstance(self.kind, T.StringType):
+            return self.base
+        if isinstance(self.kind, (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(self.base)
+        return self.base.cast("string")
+
+    def cast(self, kind: str) -> Column:
+        own = "" if self.kind is None else self.kind.simpleString()
+        if NATIVE.get(own) == kind:
+            return self.base
+        if WIDENED.get(own) == kind:
+            return self.base.cast(kind)
+        return cast_text(self.text(), kind)
+
+
+def missing() -> Node:
+    return Node(F.lit(None).cast("string"), T.StringType())
+
+
+def document(rows: DataFrame) -> Node:
+    """The event document of a relation: the struct ``doc`` if it has one, else the variant ``v``."""
+    kind = rows.schema["doc"].dataType if "doc" in rows.columns else None
+    return Node(F.col("doc"), kind) if isinstance(kind, T.StructType) else Node(F.col("v"))
 
 
 def literal_text(value: object) -> str:

@@ -22,8 +22,8 @@ from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
 from tracelight.functions.conditions import OPERATORS, Context, condition, literal_value, operand
 from tracelight.functions.schema import Schema
-from tracelight.functions.values import cast_text, text_of
 from tracelight.functions.paths import single, walk
+from tracelight.functions.values import document
 from tracelight.plans.nodes import (
     All, Assignment, Call, Comparison, Either, EventCount, EventSeen, Grain, MatchItem, Not, Path, Placeholder, Rule, Value,
 )
@@ -135,7 +135,8 @@ def required(x: Any) -> set[str]:
 class Compiler:
     def __init__(self, rule: Rule, events: DataFrame, schema: Schema, parameters: dict[str, str], lists, floor_buckets: bool):
         self.rule, self.events, self.schema, self.floor = rule, events, schema, floor_buckets
-        self.context = Context(schema, F.col("v"), {}, parameters)
+        self.document = document(events)
+        self.context = Context(schema, self.document, {}, parameters)
         if lists is not None:
             self.context.list_values = lists
         if "suppression_window" in rule.options:
@@ -184,7 +185,7 @@ class Compiler:
     def want(self, path: Path, variable: str) -> tuple[Column, str]:
         """The typed value of a variable's field after the joins, and its kind."""
         bare = Path(path.steps)
-        _, found = single(bare, self.schema, F.col("v"))
+        _, found = single(bare, self.schema, self.document)
         name = next((n for n, p in self.wanted[variable].items() if p == bare), f"{variable}__x{len(self.wanted[variable])}")
         self.wanted[variable][name] = bare
         return F.col(f"`{name}`"), found.kind if found else "string"
@@ -212,7 +213,6 @@ class Compiler:
         rows = self.events
         if terms:
             rows = rows.where(condition(terms[0] if len(terms) == 1 else All(tuple(terms)), self.context))
-        v = F.col("v")
         columns = [F.lit(True).alias(f"{name}__seen")]
         if name in self.counted:
             # equal documents count once; their digests are told apart instead of the texts
@@ -221,7 +221,7 @@ class Compiler:
             if name in owners and len(owners) > 1:
                 columns.append(self.typed(owners[name]).alias(f"{name}__on_{p}"))
         if self.pivot or self.bucket_seconds:
-            time = walk(TIME, self.schema, v, lambda x, f: cast_text(text_of(x), "timestamp_ntz"))
+            time = walk(TIME, self.schema, self.document, lambda x, f: x.cast("timestamp_ntz"))
             columns.append(time.alias(f"{name}__time"))
             if self.bucket_seconds:
                 seconds = F.unix_micros(time.cast("timestamp")).cast("double") / 1e6 / self.bucket_seconds
@@ -230,8 +230,8 @@ class Compiler:
         return rows.select(*columns)
 
     def typed(self, path: Path) -> Column:
-        value, found = single(Path(path.steps), self.schema, F.col("v"))
-        return cast_text(text_of(value), found.kind if found else "string")
+        value, found = single(Path(path.steps), self.schema, self.document)
+        return value.cast(found.kind if found else "string")
 
     # joins
 
@@ -420,7 +420,7 @@ def compile_rule(
     lists: Callable[[str, str | None], Sequence[str]] | None = None,
     floor_buckets: bool = False,
 ) -> DataFrame:
-    """The rule's detections over ``events(name, event, v)``: match fields, then outcomes; ``matches`` where it has neither.
+    """The rule's detections over an event relation: match fields, then outcomes; ``matches`` where it has neither.
 
     A window puts an event into the bucket whose number is its time over the
     window's length, rounded half to even; with ``floor_buckets``, rounded down. Windows

@@ -12,6 +12,7 @@ from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
 from tracelight.functions.conditions import Context, condition, operand
 from tracelight.functions.schema import Schema
+from tracelight.functions.values import document
 from tracelight.plans.nodes import Call, OrderItem, Path, Placeholder, Query, Value
 from tracelight.plans.query import parse
 from tracelight.sources.events import EVENTS, list_values
@@ -36,7 +37,7 @@ def compile_query(
     parameters: dict[str, str] | None = None,
     lists: Callable[[str, str | None], Sequence[str]] | None = None,
 ) -> DataFrame:
-    """The query's result over ``events(name, event, v)``.
+    """The query's result over an event relation, ``name``, ``event`` and ``v`` (a variant) or ``doc`` (a struct).
 
     Without match and outcome: ``name`` and ``event`` of the events that the
     conditions hold for, one per combination of the dedup fields, the first in the
@@ -44,7 +45,7 @@ def compile_query(
     fields with the outcomes, or the combinations alone; outcomes without match are one row of
     aggregates, or a row per event where none is an aggregate.
     """
-    context = Context(schema or Schema.builtin(), F.col("v"), query.placeholders, parameters or {})
+    context = Context(schema or Schema.builtin(), document(events), query.placeholders, parameters or {})
     if lists is not None:
         context.list_values = lists
     rows = events if query.condition is None else events.where(condition(query.condition, context))

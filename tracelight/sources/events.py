@@ -1,7 +1,9 @@
 """Event relations: ``name STRING, event STRING, v VARIANT``, one event document a row.
 
 ``event`` is the document's text, which output and distinct counts use; ``v``
-is the same, parsed once.
+is the same, parsed once. Events that are kept in typed columns have the struct
+``doc`` instead of ``v``: fields are then read as columns, so that files are pruned and
+filtered by them, and the text is only made where it is used.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ def event_relation(rows: DataFrame, event: str | Column = "event", name: str | C
     return rows.select(named.alias("name"), text.alias("event")).withColumn("v", F.parse_json("event"))
 
 
+def typed_relation(rows: DataFrame, doc: Column, name: Column | None = None) -> DataFrame:
+    """An event relation over typed columns; ``doc`` is a struct that nests them as event fields."""
+    text = F.to_json(doc)
+    return rows.select((F.concat(F.lit("event-"), F.md5(text)) if name is None else name).alias("name"), text.alias("event"), doc.alias("doc"))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events from files with one JSON document a line (an event, or ``{"name", "udm"}`` around it), or from Parquet with ``event`` (and ``name``)."""
     if path.rstrip("/").endswith(".parquet"):
@@ -74,7 +82,7 @@ def load_events(spark: SparkSession, source: Any, table: str = EVENTS) -> int:
     forms are for data that fits the driver; ``read_events`` reads files in parallel.
     """
     if isinstance(source, DataFrame):
-        made = source if {"name", "event", "v"} <= set(source.columns) else event_relation(source, name="name" if "name" in source.columns else None)
+        made = source if {"name", "event"} <= set(source.columns) and {"v", "doc"} & set(source.columns) else event_relation(source, name="name" if "name" in source.columns else None)
         made.createOrReplaceTempView(table)
         return made.count()
     rows = []
