@@ -1,0 +1,169 @@
+"""What texts of the three dialects are read as."""
+
+import pytest
+
+from tracelight.errors import ProgramError, QueryError, RuleError
+from tracelight.plans.nodes import (
+    All, Assignment, Call, Comparison, Either, EventCount, EventSeen, Grain, Key, ListColumn, Not, OrderItem, Path, Placeholder, Value,
+)
+from tracelight.plans.program import For, If, Plugin, Ref, parse_program
+from tracelight.plans.query import parse
+from tracelight.plans.rule import parse_rule
+
+
+def only(text):
+    [x] = parse(text).events
+    return x
+
+
+@pytest.mark.parametrize(
+    "text, op, value, kind",
+    [
+        ('a.b = "x"', "=", "x", "string"),
+        ("a.b != 443", "!=", 443, "number"),
+        ("a.b <= -1.5", "<=", -1.5, "number"),
+        ("a.b = true", "=", True, "boolean"),
+        ("a.b = FALSE", "=", False, "boolean"),
+        ("a.b = 10.0.0.1", "=", "10.0.0.1", "bare"),
+        ("a.b = 24h", "=", "24h", "bare"),
+        ("a.b = c.d", "=", "c.d", "bare"),
+        (r"a.b = /x\/y\d/", "=", r"x/y\d", "regex"),
+        ("a.b = ${who}", "=", "who", "template"),
+        (r'a.b = "q\" \\ \d"', "=", r"q\" \ \d".replace(r"\"", '"'), "string"),
+    ],
+)
+def test_comparisons(text, op, value, kind):
+    assert only(text) == Comparison(Path(("a", "b")), op, Value(value, kind))
+
+
+def test_a_field_on_the_right_needs_its_variable():
+    assert only("a.b = $e.c.d") == Comparison(Path(("a", "b")), "=", Path(("c", "d"), "e"))
+
+
+@pytest.mark.parametrize(
+    "text, steps", [("a[0].b", ("a", 0, "b")), ('a["k l"].b', ("a", Key("k l"), "b")), ('a.fields["x"]', ("a", "fields", Key("x"))), ("a", ("a",))]
+)
+def test_paths(text, steps):
+    assert only(text) == Path(steps)
+
+
+def test_quantifier_nocase_and_list():
+    assert only('any a.b = "x" nocase') == Comparison(Path(("a", "b")), "=", Value("x", "string"), True, True)
+    assert only("a.b in %l.c") == Comparison(Path(("a", "b")), "in", ListColumn("l", "c"))
+    assert only("a.b in %l") == Comparison(Path(("a", "b")), "in", ListColumn("l", None))
+
+
+def test_precedence_and_groups():
+    x = only("not a = 1 and (b = 2 or c = 3) or d")
+    assert isinstance(x, Either) and isinstance(x.terms[0], All) and x.terms[1] == Path(("d",))
+    assert isinstance(x.terms[0].terms[0], Not) and isinstance(x.terms[0].terms[1], Either)
+
+
+@pytest.mark.parametrize("gap", ["\n", "  ", "\n // note\n", "\n/* one\ntwo */ "])
+def test_conditions_that_follow_one_another(gap):
+    assert len(parse(f"a = 1{gap}b = 2").events) == 2
+
+
+def test_conditions_in_a_group_need_a_word_between():
+    with pytest.raises(QueryError):
+        parse("(a = 1\nb = 2)")
+
+
+def test_assignment_or_condition():
+    assert only("$x = a.b") == Assignment("x", Path(("a", "b")))
+    assert only("$x = $e.a.b") == Assignment("x", Path(("a", "b"), "e"))
+    assert only("$x = true") == Assignment("x", Path(("true",)))
+    assert only('$x = "y"') == Comparison(Placeholder("x"), "=", Value("y", "string"))
+    assert only("$x = 4") == Comparison(Placeholder("x"), "=", Value(4, "number"))
+
+
+def test_sections():
+    q = parse(
+        """events: a = 1
+        match: $x over 10m, a.b by hours
+        c over every first 2 Weeks after $p
+        outcome: $n = COUNT(a.b), $r = if($n > 1 and a.c, 2, 3)
+        $t = timestamp.get_date(a.b)
+        dedup: a.b, $x
+        order: $n desc, a.b ASC, a.c
+        limit: 7"""
+    )
+    assert [m.grain for m in q.match] == [Grain("minute", 10), Grain("hour"), Grain("week", 2, True, "after", "p")]
+    assert [o.value.name for o in q.outcome] == ["count", "if", "timestamp.get_date"]
+    assert q.outcome[1].value.arguments[1:] == (Value(2, "number"), Value(3, "number"))
+    assert q.dedup == (Path(("a", "b")), Placeholder("x"))
+    assert q.order == (OrderItem(Placeholder("n"), True), OrderItem(Path(("a", "b"))), OrderItem(Path(("a", "c"))))
+    assert q.limit == 7
+    assert parse("").events == ()
+
+
+@pytest.mark.parametrize("word, unit", [("m", "minute"), ("mins", "minute"), ("hr", "hour"), ("days", "day"), ("wks", "week"), ("mo", "month"), ("months", "month")])
+def test_units(word, unit):
+    assert parse(f"match: a over 3{word}").match[0].grain == Grain(unit, 3)
+
+
+@pytest.mark.parametrize("text", ["a = ", "= 1", "a = 1 and (", "limit: x", "a = 1 )", 'a = "x', "match: a over 5s"])
+def test_queries_that_cant_be_read(text):
+    with pytest.raises(QueryError) as e:
+        parse(text)
+    assert e.value.line == 1
+
+
+def test_the_place_of_a_problem():
+    with pytest.raises(QueryError) as e:
+        parse("a = 1\nb = (2)")
+    assert (e.value.line, e.value.column) == (2, 5)
+
+
+def test_rule():
+    r = parse_rule(
+        """rule name { meta: author = "me"
+          severity = High
+        events: $e.a.b = "x" $u = $e.c
+          $f.c = $u
+        match: $u over 5m before $e
+        outcome: $n = count($e.a)
+        condition: ($e and #f >= 2) or !$f and not $n > 3
+        options: allow_zero_values = true }"""
+    )
+    assert r.name == "name" and r.meta == {"author": "me", "severity": "High"} and r.options == {"allow_zero_values": True}
+    assert r.events[1] == Assignment("u", Path(("c",), "e"))
+    assert r.events[2] == Comparison(Path(("c",), "f"), "=", Placeholder("u"))
+    assert r.match[0].grain == Grain("minute", 5, False, "before", "e")
+    assert r.outcome == (Assignment("n", Call("count", (Path(("a",), "e"),))),)
+    first, second = r.condition.terms
+    assert first == All((EventSeen("e"), Comparison(EventCount("f"), ">=", Value(2, "number"))))
+    assert second == All((Not(EventSeen("f")), Not(Comparison(Placeholder("n"), ">", Value(3, "number")))))
+
+
+@pytest.mark.parametrize("text", ["rule r { events: $e.a = 1 }", "rule r { condition: $e", "rule { condition: $e }", "rule r { $e.a = 1 condition: $e }"])
+def test_rules_that_cant_be_read(text):
+    with pytest.raises(RuleError):
+        parse_rule(text)
+
+
+def test_program():
+    p = parse_program(
+        r"""filter { # a note
+        grok { match => { "message" : ["%{WORD:a}", '%{INT:b} \'x\' \\s'] } on_error => "bad" }
+        if ![bad] and ([a][b] == "x" or [c] in ["1", 2, true]) { drop { } } else if [d] =~ "^q" { drop {tag => t.x} } else { }
+        for k, v in obj map { for x in v { mutate { replace => { "a" => 1.5 "b" => false } } } }
+        }"""
+    )
+    grok, branch, loop = p.statements
+    assert grok == Plugin("grok", {"match": {"message": ["%{WORD:a}", r"%{INT:b} 'x' \s"]}, "on_error": "bad"})
+    assert branch.test == All(
+        (Not(Ref(("bad",))), Either((Comparison(Ref(("a", "b")), "==", Value("x", "scalar")), Comparison(Ref(("c",)), "in", Value(["1", 2, True], "array")))))
+    )
+    assert isinstance(branch.otherwise[0], If) and branch.otherwise[0].then == (Plugin("drop", {"tag": "t.x"}),)
+    assert isinstance(loop, For) and loop.names == ("k", "v") and loop.of_map and loop.body[0].names == ("x",)
+    assert loop.body[0].body[0].arguments == {"replace": {"a": 1.5, "b": False}}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["filter {", "filter { nothing { } }", "filter { xml { } }", "filter { mutate { explode => [] } }", "FILTER { }", "filter { for x in xml(a, /b) { } }", "filter { if [a] { drop { } }"],
+)
+def test_programs_that_cant_be_read(text):
+    with pytest.raises(ProgramError):
+        parse_program(text)
