@@ -50,6 +50,17 @@ def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src, dst)``: one row ``(node, root)`` per linked node, root the smallest node.
 

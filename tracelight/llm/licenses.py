@@ -9,7 +9,7 @@ for, by size or by shared bigrams, are passed over, and passages of other sizes
 are never compared.
 
 The best passage begins and ends with a shared bigram, so only those are tried.
-Of matches that overlap, the one with the largest template stays.
+Of matches that overlap, the one that shares most stays.
 """
 
 from __future__ import annotations
@@ -143,7 +143,8 @@ class Scanner:
             own = self.member[k, grams]
             if own.sum() >= t.least:
                 out += self.passages(places[own], grams[own], t)
-        out.sort(key=lambda m: (-m[3].size, -m[2], m[0], m[3].number))
+        # the most shared bigrams, and of as many the closer template
+        out.sort(key=lambda m: (-round(m[2] * (m[1] - 1 + m[3].size) / 2), -m[2], m[0], m[3].number))
         taken, kept = np.zeros(len(found), bool), []
         for m in out:
             if not taken[m[0] : m[0] + m[1]].any():
@@ -165,7 +166,7 @@ class Scanner:
                 continue
             # a later beginning inside this passage may be better
             for j in range(i + 1, int(ends[i])):
-                if place[j] > best[0] + t.size * (1 - self.threshold) + 1:
+                if place[j] + t.least > best[0] + best[1]:
                     break
                 other = self.best_from(place, gram, j, int(ends[j]), t)
                 if other and other[2] > best[2]:

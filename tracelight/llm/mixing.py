@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import WORD, cut, table, with_ids
+from tracelight.llm.common import WORD, cut, table, unused, with_ids
 
 #: Weights that the sources take in turn, in order of their names.
 WEIGHTS = (1, 2, 3)
@@ -84,19 +84,23 @@ def mix(
 def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
     """The mix itself: a row per copy, with all columns of ``docs``, then ``mix_copy`` (from 1), ``mix_size`` and ``mix_target``.
 
+    Columns of ``docs`` with these names are replaced.
     Copies are those of ``mix``. The sources' rates are broadcast if there are
     at most ``max_sources`` of them, so that texts stay where they are; beyond
     that they are joined by source, and adaptive execution splits a hot one.
     """
     rates = cut(source_targets(docs.select("source", words().alias("size")), weights, max_repeat))
-    rates = rates.select(F.struct("source", "source_size", "target").alias("mix_rate"))
+    own = unused(docs, "mix_rate", "mix_place", "mix_zero")
+    rates = rates.select(F.struct("source", "source_size", "target").alias(own[0]))
     side = F.broadcast(rates) if rates.count() <= max_sources else rates
-    joined = docs.join(side, docs.source.eqNullSafe(F.col("mix_rate.source")))
-    rate = F.when(F.col("mix_rate.source_size") > 0, F.col("mix_rate.target") / F.col("mix_rate.source_size")).otherwise(F.lit(0.0))
+    joined = docs.join(side, docs.source.eqNullSafe(rates[own[0]]["source"]))
+    size, target = rates[own[0]]["source_size"], rates[own[0]]["target"]
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(uniform(seed, "doc_id") < rate - F.floor(rate), 1).otherwise(0)
-    return joined.select("*", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("mix_place", "mix_zero")).select(
-        *[docs[c] for c in docs.columns], (F.col("mix_place") + 1).alias("mix_copy"), words().alias("mix_size"), F.col("mix_rate.target").alias("mix_target")
-    )
+    new = {"mix_size": words(), "mix_target": target}
+    out = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(*own[1:]))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*new, "mix_copy")]
+    return out.select(*kept, (F.col(own[1]) + 1).alias("mix_copy"), *[c.alias(n) for n, c in new.items()])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm.common import components, cut, table, with_ids
+from tracelight.llm.common import components, cut, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -150,9 +150,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3,
     gone = by_id.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("other_id"))
     clear = docs.where(F.col("doc_id").isNotNull()).join(gone, docs.doc_id == gone.other_id, "left_anti")
     again = docs.join(unclear, docs.doc_id.eqNullSafe(unclear.other_id), "left_semi")
-    own = "fp_of_row"
-    while own in docs.columns:
-        own += "_"
+    [own] = unused(docs, "fp_of_row")
     at = docs.columns.index("text")
 
     def batches(it):
