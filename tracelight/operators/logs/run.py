@@ -72,6 +72,11 @@ def parse_logs(
                         errors.append(str(e))
             yield pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(errors, pa.string())], names=["event", "error"])
 
+    if not logs.isStreaming:
+        # few files would keep most cores idle; large inputs have more partitions than cores and stay where they are
+        cores = logs.sparkSession.sparkContext.defaultParallelism
+        if logs.rdd.getNumPartitions() < cores:
+            logs = logs.repartition(cores)
     found = logs.mapInArrow(batches, "event string, error string")
     if failures != "keep":
         return event_relation(found)

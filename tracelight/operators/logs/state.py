@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from typing import Any
 
 from tracelight.errors import ExecutionError
@@ -73,5 +74,19 @@ class State(dict):
         return REFERENCE.sub(found, text) if "%{" in text else text
 
 
+@lru_cache(maxsize=4096)
+def place_of(name: str) -> tuple[str, ...]:
+    return tuple(name.split("."))
+
+
 def place(name: Any) -> tuple[str, ...]:
-    return tuple(str(name).split("."))
+    return place_of(str(name))
+
+
+def copied(value: Any) -> Any:
+    """A copy of a value that shares nothing that can change with it."""
+    if isinstance(value, dict):
+        return {k: copied(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [copied(v) for v in value]
+    return value
