@@ -9,7 +9,7 @@ from tracelight.errors import CompileError
 from tracelight.functions.schema import Field, Schema
 from tracelight.functions.values import Node
 from tracelight.operators.search import search, search_response
-from tracelight.sources.events import event_relation, load_events, load_reference_list, read_events
+from tracelight.sources.events import event_relation, load_events, load_reference_list, read_events, write_events
 from tracelight.sources.responses import camel, camelized
 
 EVENTS = [
@@ -206,6 +206,9 @@ def test_sources(spark, tmp_path):
     assert load_events(spark, read, "third") == 2
     read.select("name", "event").write.parquet(str(tmp_path / "e.parquet"))
     assert search("target.port = 443", spark, events=read_events(spark, str(tmp_path / "e.parquet"))).count() == 1
+    write_events(read, str(tmp_path / "parsed.parquet"))
+    kept = read_events(spark, str(tmp_path / "parsed.parquet"))
+    assert kept.schema["v"].dataType.simpleString() == "variant" and search("target.port = 443", spark, events=kept).count() == 1
     assert load_events(spark, [], "none") == 0
     for bad in ({"no": 1}, "3"):
         with pytest.raises(ValueError):

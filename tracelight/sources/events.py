@@ -41,9 +41,14 @@ def typed_relation(rows: DataFrame, doc: Column, name: Column | None = None) ->
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events from files with one JSON document a line (an event, or ``{"name", "udm"}`` around it), or from Parquet with ``event`` (and ``name``)."""
+    """Events from files with one JSON document a line (an event, or ``{"name", "udm"}`` around it), or from Parquet.
+
+    Parquet holds an event relation that ``write_events`` wrote, or ``event`` (and ``name``) alone.
+    """
     if path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path)
+        if {"name", "event"} <= set(rows.columns) and {"v", "doc"} & set(rows.columns):
+            return rows
         return event_relation(rows, name="name" if "name" in rows.columns else None)
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("x"))
     inner = F.try_variant_get("x", "$.udm", "variant")
@@ -52,6 +57,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return event_relation(lines, event, F.coalesce(named, F.concat(F.lit("event-"), F.md5(event))))
 
 
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Keeps an event relation as Parquet with its documents parsed, so that no search parses them again."""
+    events.write.mode(mode).parquet(path)
+
+
 def _read(source: Any) -> Any:
     if isinstance(source, (dict, list)):
         return source
