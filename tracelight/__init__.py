@@ -9,10 +9,10 @@ from tracelight.plans.program import parse_program
 from tracelight.plans.query import parse
 from tracelight.plans.rule import parse_rule
 from tracelight.session import session
-from tracelight.sources.events import event_relation, load_events, load_reference_list, read_events, typed_relation, write_events
+from tracelight.sources.events import event_relation, load_events, load_reference_list, read_events, typed_events, write_events
 
 __all__ = [
     "CompileError", "ExecutionError", "Field", "ProgramError", "QueryError", "RuleError", "Schema", "compile_query", "compile_rule",
     "event_relation", "load_events", "load_reference_list", "parse", "parse_logs", "parse_program", "parse_rule", "read_events",
-    "rule_response", "run_program", "run_rule", "search", "search_response", "session", "typed_relation", "write_events",
+    "rule_response", "run_program", "run_rule", "search", "search_response", "session", "typed_events", "write_events",
 ]

@@ -11,7 +11,7 @@ from tracelight.operators.logs.run import parse_logs
 from tracelight.operators.rules import run_rule
 from tracelight.operators.search import search
 from tracelight.sources.events import load_reference_list
-from tracelight.sources.testdata import SCHEMA, log_lines, typed_events, variant_events
+from tracelight.sources.testdata import SCHEMA, log_lines, table_events, variant_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,7 @@ def filters(name: str, text: str, where: str, variant: bool = True, parameters:
         return ids(search(text, spark, SCHEMA, parameters, relation(spark, sf_dir)))
 
     sql = f"SELECT event_id FROM {E} e WHERE {where}"
-    QUERIES[name], ORACLES[name] = lambda spark, sf_dir: run(spark, sf_dir, typed_events), sql
+    QUERIES[name], ORACLES[name] = lambda spark, sf_dir: run(spark, sf_dir, table_events), sql
     if variant:
         QUERIES[f"{name}_variant"], ORACLES[f"{name}_variant"] = lambda spark, sf_dir: run(spark, sf_dir, variant_events), sql
 
@@ -83,7 +83,7 @@ filters(
 )
 
 
-def stats(name: str, text: str, sql: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, relation=typed_events) -> None:
+def stats(name: str, text: str, sql: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, relation=table_events) -> None:
     QUERIES[name] = lambda spark, sf_dir: shape(search(text, spark, SCHEMA, None, relation(spark, sf_dir)))
     ORACLES[name] = sql
 
@@ -152,7 +152,7 @@ stats(
 )
 
 
-def rule(name: str, text: str, sql: str, relation=typed_events, lists=()) -> None:
+def rule(name: str, text: str, sql: str, relation=table_events, lists=()) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for x in lists:
             load_reference_list(spark, *x)

@@ -34,20 +34,25 @@ WIDENED = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float":
 
 
 class Node:
-    """A place in an event document: a column, and its type where the document is a struct; none where it is a variant.
+    """A place in an event document: a column, and its type where it is typed; none where it is a variant.
 
     Steps into a variant are collected and taken at once. Steps into a struct
     are plain column access, which the optimizer prunes and pushes down to the files.
+    A place may also be put together of places by name, of which none is read that isn't asked for.
     """
 
-    def __init__(self, column: Column, kind: T.DataType | None = None, path: str = "$"):
-        self.base, self.kind, self.path = column, kind, path
+    def __init__(self, column: Column | None, kind: T.DataType | None = None, path: str = "$", parts: dict[str, Node] | None = None):
+        self.base, self.kind, self.path, self.parts = column, kind, path, parts
 
     @property
     def column(self) -> Column:
+        if self.parts is not None:
+            return F.struct(*[n.column.alias(k) for k, n in self.parts.items()])
         return self.base if self.path == "$" else F.try_variant_get(self.base, self.path, "variant")
 
     def name(self, name: str) -> Node:
+        if self.parts is not None:
+            return self.parts.get(name) or missing()
         if isinstance(self.kind, T.StructType):
             inner = next((f for f in self.kind.fields if f.name == name), None)
             return missing() if inner is None else Node(self.base.getField(name), inner.dataType)
@@ -61,6 +66,8 @@ class Node:
         return Node(self.base, None, f"{self.path}['{name}']")
 
     def index(self, i: int) -> Node:
+        if self.parts is not None:
+            return missing()
         if isinstance(self.kind, T.ArrayType):
             return Node(F.get(self.base, F.lit(i)), self.kind.elementType)
         return Node(self.base, None, f"{self.path}[{i}]") if self.kind is None else missing()
@@ -69,6 +76,8 @@ class Node:
         """What a repeated field holds, as an array: a list's elements, a variant object's values, a single value alone; NULL if it is missing."""
         if isinstance(self.kind, T.ArrayType):
             return self.base, self.kind.elementType
+        if self.parts is not None:
+            raise CompileError("a field that is put together of columns holds one value; make it an array of structs")
         value = self.column
         alone = F.when(value.isNotNull(), F.array(value))
         if self.kind is not None:
@@ -84,6 +93,8 @@ class Node:
 
     def text(self) -> Column:
         """As text; a missing value and a JSON null are NULL."""
+        if self.parts is not None:
+            return F.to_json(self.column)
         if self.kind is None:
             return F.try_variant_get(self.base, self.path, "string")
         if isinstance(self.kind, T.StringType):
@@ -105,12 +116,6 @@ def missing() -> Node:
     return Node(F.lit(None).cast("string"), T.StringType())
 
 
-def document(rows: DataFrame) -> Node:
-    """The event document of a relation: the struct ``doc`` if it has one, else the variant ``v``."""
-    kind = rows.schema["doc"].dataType if "doc" in rows.columns else None
-    return Node(F.col("doc"), kind) if isinstance(kind, T.StructType) else Node(F.col("v"))
-
-
 def literal_text(value: object) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 

@@ -23,12 +23,11 @@ from tracelight.functions.aggregates import aggregate
 from tracelight.functions.conditions import OPERATORS, Context, condition, literal_value, operand
 from tracelight.functions.schema import Schema
 from tracelight.functions.paths import single, walk
-from tracelight.functions.values import document
 from tracelight.plans.nodes import (
     All, Assignment, Call, Comparison, Either, EventCount, EventSeen, Grain, MatchItem, Not, Path, Placeholder, Rule, Value,
 )
 from tracelight.plans.rule import parse_rule
-from tracelight.sources.events import EVENTS, list_values
+from tracelight.sources.events import EVENTS, View, list_values, viewed
 from tracelight.sources.responses import result_response
 
 #: Seconds of a window's unit; a month counts as 30 days.
@@ -133,9 +132,12 @@ def required(x: Any) -> set[str]:
 
 
 class Compiler:
-    def __init__(self, rule: Rule, events: DataFrame, schema: Schema, parameters: dict[str, str], lists, floor_buckets: bool):
-        self.rule, self.events, self.schema, self.floor = rule, events, schema, floor_buckets
-        self.document = document(events)
+    def __init__(self, rule: Rule, events: DataFrame | View, schema: Schema, parameters: dict[str, str], lists, floor_buckets: bool):
+        view = viewed(events)
+        self.rule, self.events, self.schema, self.floor = rule, view.rows, schema, floor_buckets
+        self.document = view.document
+        # equal documents count once; a name that tells documents apart, or their digest, stands for the text
+        self.identity = view.name if view.unique else F.sha2(view.event, 256)
         self.context = Context(schema, self.document, {}, parameters)
         if lists is not None:
             self.context.list_values = lists
@@ -215,8 +217,7 @@ class Compiler:
             rows = rows.where(condition(terms[0] if len(terms) == 1 else All(tuple(terms)), self.context))
         columns = [F.lit(True).alias(f"{name}__seen")]
         if name in self.counted:
-            # equal documents count once; their digests are told apart instead of the texts
-            columns.append(F.sha2("event", 256).alias(f"{name}__event"))
+            columns.append(self.identity.alias(f"{name}__event"))
         for p, owners in self.variables.bound.items():
             if name in owners and len(owners) > 1:
                 columns.append(self.typed(owners[name]).alias(f"{name}__on_{p}"))
@@ -414,7 +415,7 @@ class Compiler:
 
 def compile_rule(
     rule: Rule,
-    events: DataFrame,
+    events: DataFrame | View,
     schema: Schema | None = None,
     parameters: dict[str, str] | None = None,
     lists: Callable[[str, str | None], Sequence[str]] | None = None,
@@ -431,7 +432,7 @@ def compile_rule(
 
 
 def run_rule(
-    text: str, spark: SparkSession, schema: Schema | None = None, parameters: dict[str, str] | None = None, events: DataFrame | str = EVENTS
+    text: str, spark: SparkSession, schema: Schema | None = None, parameters: dict[str, str] | None = None, events: DataFrame | View | str = EVENTS
 ) -> DataFrame:
     """The detections of a rule's text over the loaded events, or any event relation."""
     relation = spark.table(events) if isinstance(events, str) else events

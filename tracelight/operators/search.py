@@ -12,13 +12,16 @@ from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
 from tracelight.functions.conditions import Context, condition, operand
 from tracelight.functions.schema import Schema
-from tracelight.functions.values import document
 from tracelight.plans.nodes import Call, OrderItem, Path, Placeholder, Query, Value
 from tracelight.plans.query import parse
-from tracelight.sources.events import EVENTS, list_values
+from tracelight.sources.events import EVENTS, View, list_values, viewed
 from tracelight.sources.responses import event_response, result_response
 
 
+#: The column of an event's place among those with the same dedup fields.
+PLACE = "place of the event"
+
+
 def named(x: Any, context: Context) -> tuple[Column, str]:
     """A placeholder or field as a typed column, and its name."""
     if not isinstance(x, (Placeholder, Path)):
@@ -32,7 +35,7 @@ def ordering(column: Column, item: OrderItem) -> Column:
 
 def compile_query(
     query: Query,
-    events: DataFrame,
+    events: DataFrame | View,
     schema: Schema | None = None,
     parameters: dict[str, str] | None = None,
     lists: Callable[[str, str | None], Sequence[str]] | None = None,
@@ -45,20 +48,21 @@ def compile_query(
     fields with the outcomes, or the combinations alone; outcomes without match are one row of
     aggregates, or a row per event where none is an aggregate.
     """
-    context = Context(schema or Schema.builtin(), document(events), query.placeholders, parameters or {})
+    view = viewed(events)
+    context = Context(schema or Schema.builtin(), view.document, query.placeholders, parameters or {})
     if lists is not None:
         context.list_values = lists
-    rows = events if query.condition is None else events.where(condition(query.condition, context))
+    rows = view.rows if query.condition is None else view.rows.where(condition(query.condition, context))
     if query.match or query.outcome:
         return grouped(query, rows, context)
     orders = [ordering(named(o.value, context)[0], o) for o in query.order]
     if query.dedup:
         keys = [named(d, context)[0] for d in query.dedup]
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders, "name", "event"))
-        rows = rows.withColumn("place", place).where("place = 1")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders, view.name, *([] if view.unique else [view.event])))
+        rows = rows.withColumn(PLACE, place).where(F.col(PLACE) == 1)
     if orders:
         rows = rows.orderBy(*orders)
-    rows = rows.select("name", "event")
+    rows = rows.select(view.name.alias("name"), view.event.alias("event"))
     return rows if query.limit is None else rows.limit(query.limit)
 
 
@@ -68,14 +72,16 @@ def grouped(query: Query, rows: DataFrame, context: Context) -> DataFrame:
         column, name = named(item.value, context)
         keys[name] = column
     matched = {item.value: item.value.name if isinstance(item.value, Placeholder) else item.value.alias for item in query.match}
-    aggregates: dict[str, Column] = {}
+    aggregates: dict[str, tuple[str, Column, Column]] = {}
     plain: dict[str, Column] = {}
     for o in query.outcome:
         if isinstance(o.value, Call):
             if len(o.value.arguments) != 1:
                 raise CompileError(f"{o.value.name}() takes one argument")
             x = operand(o.value.arguments[0], context)
-            aggregates[o.name] = aggregate(o.value.name, x.typed(), x.field.kind if x.field else "string")
+            kind = x.field.kind if x.field else "string"
+            slot = f"in_{len(aggregates)}"
+            aggregates[o.name] = (slot, x.typed(), aggregate(o.value.name, F.col(slot), kind))
         elif isinstance(o.value, Value) or not keys or o.value in matched:
             plain[o.name] = operand(o.value, context).typed()
         else:
@@ -89,13 +95,13 @@ def grouped(query: Query, rows: DataFrame, context: Context) -> DataFrame:
         found = rows.orderBy(*orders) if orders else rows
         found = found.select(*[plain[n].alias(n) for n in names])
         return found if query.limit is None else found.limit(query.limit)
-    # values are taken out of the documents before rows are shuffled
+    # values are taken out of the documents before rows are grouped, so that no more of them is read
     slots = {n: f"key_{i}" for i, n in enumerate(keys)}
-    groups = rows.groupBy(*[c.alias(slots[n]) for n, c in keys.items()])
+    narrow = rows.select(*[c.alias(slots[n]) for n, c in keys.items()], *[c.alias(slot) for slot, c, _ in aggregates.values()])
     if aggregates:
-        found = groups.agg(*[c.alias(f"out_{n}") for n, c in aggregates.items()])
+        found = narrow.groupBy(*slots.values()).agg(*[c.alias(f"out_{n}") for n, (_, _, c) in aggregates.items()])
     else:
-        found = rows.select(*[c.alias(slots[n]) for n, c in keys.items()]).distinct()
+        found = narrow.distinct()
     of_match = {o.name: matched[o.value] for o in query.outcome if o.value in matched}
     shown = []
     for n in names:
@@ -122,7 +128,7 @@ def order_name(item: OrderItem, names: Sequence[str]) -> str | None:
 
 
 def search(
-    text: str, spark: SparkSession, schema: Schema | None = None, parameters: dict[str, str] | None = None, events: DataFrame | str = EVENTS
+    text: str, spark: SparkSession, schema: Schema | None = None, parameters: dict[str, str] | None = None, events: DataFrame | View | str = EVENTS
 ) -> DataFrame:
     """The result of a query's text over the loaded events, or any event relation."""
     relation = spark.table(events) if isinstance(events, str) else events

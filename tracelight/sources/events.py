@@ -1,9 +1,10 @@
 """Event relations: ``name STRING, event STRING, v VARIANT``, one event document a row.
 
 ``event`` is the document's text, which output and distinct counts use; ``v``
-is the same, parsed once. Events that are kept in typed columns have the struct
-``doc`` instead of ``v``: fields are then read as columns, so that files are pruned and
-filtered by them, and the text is only made where it is used.
+is the same, parsed once. Events that are kept in a typed struct have ``doc`` instead of
+``v``, and tables of flat columns become events by ``typed_events``: fields are
+then read as columns, so that files are pruned and filtered by them, and the text is only
+made where it is used.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelight.functions.values import Node
+
 EVENTS = "events"
 LISTS = "reference_lists"
 LIST_COLUMNS = "list_name string, column_name string, value string"
@@ -34,10 +38,50 @@ def event_relation(rows: DataFrame, event: str | Column = "event", name: str | C
     return rows.select(named.alias("name"), text.alias("event")).withColumn("v", F.parse_json("event"))
 
 
-def typed_relation(rows: DataFrame, doc: Column, name: Column | None = None) -> DataFrame:
-    """An event relation over typed columns; ``doc`` is a struct that nests them as event fields."""
-    text = F.to_json(doc)
-    return rows.select((F.concat(F.lit("event-"), F.md5(text)) if name is None else name).alias("name"), text.alias("event"), doc.alias("doc"))
+@dataclass(frozen=True)
+class View:
+    """Events as compilers take them: rows, where in them the document is, and the columns that results show."""
+
+    rows: DataFrame
+    document: Node
+    name: Column
+    event: Column
+    #: whether events have the same name only where they are the same document
+    unique: bool = False
+
+    def relation(self) -> DataFrame:
+        """The same as a relation with the struct ``doc``."""
+        return self.rows.select(self.name.alias("name"), self.event.alias("event"), self.document.column.alias("doc"))
+
+
+def typed_events(rows: DataFrame, fields: dict[str, Column], name: Column | None = None) -> View:
+    """Events over typed columns: ``fields`` says by dotted path which column (or expression of columns) a field is.
+
+    Queries read the columns of the fields that they name and no others. ``name``
+    is a column that differs wherever documents do (an id that is one of the fields); without one, an
+    event is named by its document's hash.
+    """
+    schema = rows.select(*[c.alias(str(i)) for i, c in enumerate(fields.values())]).schema
+    root = Node(None, parts={})
+    for (path, column), f in zip(fields.items(), schema):
+        *outer, last = path.split(".")
+        here = root
+        for step in outer:
+            here = here.parts.setdefault(step, Node(None, parts={}))
+            if here.parts is None:
+                raise ValueError(f"{path!r} is inside a field that is a column itself")
+        here.parts[last] = Node(column, f.dataType)
+    event = F.to_json(root.column)
+    return View(rows, root, F.concat(F.lit("event-"), F.md5(event)) if name is None else name, event, name is not None)
+
+
+def viewed(events: DataFrame | View) -> View:
+    """An event relation's view: its document is the struct ``doc`` if it has one, else the variant ``v``."""
+    if isinstance(events, View):
+        return events
+    kind = events.schema["doc"].dataType if "doc" in events.columns else None
+    document = Node(F.col("doc"), kind) if isinstance(kind, T.StructType) else Node(F.col("v"))
+    return View(events, document, F.col("name"), F.col("event"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +101,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return event_relation(lines, event, F.coalesce(named, F.concat(F.lit("event-"), F.md5(event))))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_events(events: DataFrame | View, path: str, mode: str = "errorifexists") -> None:
     """Keeps an event relation as Parquet with its documents parsed, so that no search parses them again."""
-    events.write.mode(mode).parquet(path)
+    (events.relation() if isinstance(events, View) else events).write.mode(mode).parquet(path)
 
 
 def _read(source: Any) -> Any:
@@ -91,6 +135,8 @@ def load_events(spark: SparkSession, source: Any, table: str = EVENTS) -> int:
     event may be wrapped as ``{"name", "udm"}``; one without a name gets one. These
     forms are for data that fits the driver; ``read_events`` reads files in parallel.
     """
+    if isinstance(source, View):
+        source = source.relation()
     if isinstance(source, DataFrame):
         made = source if {"name", "event"} <= set(source.columns) and {"v", "doc"} & set(source.columns) else event_relation(source, name="name" if "name" in source.columns else None)
         made.createOrReplaceTempView(table)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions.schema import Field, Schema
-from tracelight.sources.events import event_relation, typed_relation
+from tracelight.sources.events import View, event_relation, typed_events
 
 #: The built-in schema and an extension for the numeric value that test events carry.
 SCHEMA = Schema.builtin().with_fields(Field("extensions.value", "double"), Field("extensions.kind", "string"))
@@ -18,46 +18,39 @@ EVENT_TYPES = {
 }
 
 
-def event_document() -> Column:
-    """An event as a struct over the columns of ``events``. Each field is an expression of few columns, so a query reads those alone."""
+def event_fields() -> dict[str, Column]:
+    """What each field of an event is, as an expression of few columns of ``events``."""
     k = F.get_json_object("props", "$.k").cast("long")
     user = F.col("user_id").cast("string")
     kind = F.create_map(*[F.lit(x) for pair in EVENT_TYPES.items() for x in pair])[F.col("event_type")]
     octet = (F.col("event_id") % 250).cast("string")
-    return F.struct(
-        F.struct(
-            F.col("event_id").cast("string").alias("id"),
-            kind.alias("event_type"),
-            F.col("event_type").alias("log_type"),
-            F.col("ts").alias("event_timestamp"),
-            F.array(
-                F.struct(F.lit("kind").alias("key"), F.col("event_type").alias("value")),
-                F.struct(F.lit("k").alias("key"), k.cast("string").alias("value")),
-            ).alias("ingestion_labels"),
-        ).alias("metadata"),
-        F.struct(
-            F.concat(F.lit("Host-"), (F.col("user_id") % 20).cast("string")).alias("hostname"),
-            F.array(F.concat(F.lit("10.0.0."), octet), F.concat(F.lit("10.1.0."), user)).alias("ip"),
-            F.struct(user.alias("userid")).alias("user"),
-        ).alias("principal"),
-        F.struct(F.when(k < 90, k).alias("port")).alias("target"),
-        F.array(
-            F.struct(F.array(F.when(F.col("event_type") == "error", "BLOCK").otherwise("ALLOW")).alias("action")),
-            F.struct(F.array(F.when(k < 50, "CHALLENGE").otherwise("FAIL")).alias("action")),
-        ).alias("security_result"),
-        F.create_map(F.lit("k"), k.cast("string"), F.lit("kind"), F.col("event_type")).alias("additional"),
-        F.struct(F.col("value").alias("value"), F.col("event_type").alias("kind")).alias("extensions"),
-    )
+    label = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    action = lambda yes, one, other: F.struct(F.array(F.when(yes, one).otherwise(other)).alias("action"))
+    return {
+        "metadata.id": F.col("event_id").cast("string"),
+        "metadata.event_type": kind,
+        "metadata.log_type": F.col("event_type"),
+        "metadata.event_timestamp": F.col("ts"),
+        "metadata.ingestion_labels": F.array(label("kind", F.col("event_type")), label("k", k.cast("string"))),
+        "principal.hostname": F.concat(F.lit("Host-"), (F.col("user_id") % 20).cast("string")),
+        "principal.ip": F.array(F.concat(F.lit("10.0.0."), octet), F.concat(F.lit("10.1.0."), user)),
+        "principal.user.userid": user,
+        "target.port": F.when(k < 90, k),
+        "security_result": F.array(action(F.col("event_type") == "error", "BLOCK", "ALLOW"), action(k < 50, "CHALLENGE", "FAIL")),
+        "additional": F.create_map(F.lit("k"), k.cast("string"), F.lit("kind"), F.col("event_type")),
+        "extensions.value": F.col("value"),
+        "extensions.kind": F.col("event_type"),
+    }
 
 
-def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with a struct document: fields are read as columns of the file."""
-    return typed_relation(spark.read.parquet(f"{sf_dir}/events.parquet"), event_document())
+def table_events(spark: SparkSession, sf_dir: str) -> View:
+    """The test table's rows as events: fields are read as columns of the file."""
+    return typed_events(spark.read.parquet(f"{sf_dir}/events.parquet"), event_fields(), F.concat(F.lit("event-"), F.col("event_id")))
 
 
 def variant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events as documents without a shape, as they come from outside."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(event_document().alias("doc"))
+    rows = table_events(spark, sf_dir).relation()
     return event_relation(rows.select(F.to_json("doc", {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("event")))
 
 

@@ -21,15 +21,15 @@ from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
 from tracelight.functions.conditions import OPERATORS, Context, condition, literal_value, operand
 from tracelight.functions.schema import Schema
-from tracelight.functions.values import document
 from tracelight.operators.rules import SECONDS, TIME, event_variables
 from tracelight.functions.paths import walk
 from tracelight.plans.nodes import All, Call, Comparison, Either, EventCount, EventSeen, Not, Path, Placeholder, Rule, Value
 from tracelight.plans.rule import parse_rule
+from tracelight.sources.events import View, viewed
 
 
 def stream_rule(
-    rule: Rule | str, events: DataFrame, schema: Schema | None = None, late: str = "10 minutes", parameters: dict[str, str] | None = None
+    rule: Rule | str, events: DataFrame | View, schema: Schema | None = None, late: str = "10 minutes", parameters: dict[str, str] | None = None
 ) -> DataFrame:
     """Detections of a rule with one event variable and ``over`` a plain window, by tumbling window.
 
@@ -47,9 +47,10 @@ def stream_rule(
     if len(grains) != 1 or grains[0].direction is not None:
         raise CompileError("a rule on a stream has one plain window")
     [name] = variables.names
-    context = Context(schema, document(events), {p: Path(owners[name].steps) for p, owners in variables.bound.items()}, parameters or {})
+    view = viewed(events)
+    context = Context(schema, view.document, {p: Path(owners[name].steps) for p, owners in variables.bound.items()}, parameters or {})
     terms = variables.filters[name]
-    rows = events.where(condition(All(tuple(terms)), context)) if terms else events
+    rows = view.rows.where(condition(All(tuple(terms)), context)) if terms else view.rows
     seconds = SECONDS[grains[0].unit] * grains[0].quantity
     time = walk(TIME, schema, context.base, lambda x, f: x.cast("timestamp_ntz")).cast("timestamp")
     keys = {m.value.name if isinstance(m.value, Placeholder) else m.value.alias: operand(bare(m.value), context).typed() for m in rule.match}
