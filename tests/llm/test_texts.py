@@ -411,3 +411,11 @@ def test_licence_lines_of_the_test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     expected = {r.doc_id for r in docs.where(F.lower("text").rlike("licen")).collect()}
     assert {r.doc_id for r in registry.QUERIES["op9_license_scan"](spark, SF).collect()} == expected
+
+
+@tables
+def test_other_scripts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    assert all(model.rejects(model.predict(t)) for t in ("Привет мир это русский текст о погоде и природе", "这是一个中文句子，用来测试语言识别。", "αβγδε ζηθικ λμνξο"))
+    assert langid.identified(docs, model).count() >= 0.999 * docs.count()

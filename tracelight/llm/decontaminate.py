@@ -39,6 +39,7 @@ SHINGLE = 5
 OVERLAP = 0.8
 #: Items indexed, and sent to executors, at a time; more items are searched for in turns.
 ITEMS_AT_A_TIME = 20_000
+CHARS_AT_A_TIME = 20_000_000
 #: Windows begin at multiples of so many words.
 STRIDE = 8
 BLOCKS = 24
@@ -228,7 +229,8 @@ class Index:
 def indexes(benchmark: DataFrame, overlap: float = OVERLAP, at_a_time: int = ITEMS_AT_A_TIME) -> Iterator[Index]:
     """An index for each bounded part of the items, one after the other; ``at_a_time`` bounds what is held and broadcast."""
     items = with_ids(benchmark, "item_id", "text").where("text IS NOT NULL")
-    parts = max(1, math.ceil(items.count() / (0.8 * at_a_time)))
+    n, chars = items.agg(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(1, math.ceil(n / (0.8 * at_a_time)), math.ceil((chars or 0) / (0.8 * CHARS_AT_A_TIME)))
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         yield Index([(r[0], r[1]) for r in rows], overlap)

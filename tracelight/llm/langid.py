@@ -7,7 +7,7 @@ linear layer and a softmax. Embeddings and layer are trained together by
 stochastic gradient descent in numpy on a bounded sample; the confidence is
 calibrated by a temperature fitted on a part of the sample that training
 doesn't see, and the rejection threshold is the confidence that all but a
-small share of that part's rightly labelled texts reach.
+small share of that part's rightly labelled texts reach, and a half at most.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from tracelight.llm.common import crc_bucket, table, with_ids
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 16
-#: Texts that a model learns from: about so many per language, whatever the size of the corpus.
+#: Texts that a model learns from: about so many per language, whatever the size of the corpus, of at most so many characters each.
 SAMPLE_PER_LANGUAGE = 600
+SAMPLE_CHARS = 200_000
+#: Languages that a model tells apart at most; its tables grow with their number.
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 #: Of rightly labelled held-back texts, the share that calibration lets go.
 REJECT_SHARE = 0.0005
@@ -123,7 +126,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
             ids, n = np.unique(np.concatenate(grams), return_counts=True)
             rows.append((t, label[g], ids, (n / n.sum()).astype(np.float32)))
     k = len(languages)
-    embed = random.normal(0, 0.3, (1 << bits, DIMENSIONS)).astype(np.float32)
+    # small, so that n-grams which training never sees say next to nothing, and texts of them are rejected
+    embed = random.normal(0, 0.02, (1 << bits, DIMENSIONS)).astype(np.float32)
     layer = random.normal(0, 0.3, (DIMENSIONS, k)).astype(np.float32)
     bias = np.zeros(k, np.float32)
     order = random.permutation(len(rows))
@@ -170,16 +174,18 @@ def calibrate(model: Model, held: list[tuple[str, int]], reject_share: float = R
     p /= p.sum(axis=1, keepdims=True)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
     if len(right):
-        # half of the confidence that the share reaches: held-back texts are few, and clean ones are not to go
-        model.threshold = float(right[int(reject_share * len(right))]) / 2
+        # held-back texts are few and clean ones are not to go: a language that holds half of the confidence is never rejected
+        model.threshold = min(0.5, float(right[int(reject_share * len(right))]))
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 3) -> DataFrame:
     """About ``per_language`` rows ``text``, ``lang`` of each language, chosen by a hash of the id: a bounded sample for the driver."""
-    rows = with_ids(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = with_ids(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= SAMPLE_CHARS)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     limits = {r["lang"]: min(1.0, per_language / r["n"]) for r in counts.collect()}
+    if len(limits) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not limits:
         return rows.select("text", "lang").limit(0)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])

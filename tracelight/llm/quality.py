@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tracelight.llm.common import crc_bucket, table, with_ids
 
-#: Labelled documents that a model learns from, whatever the size of the corpus.
+#: Labelled documents that a model learns from, whatever the size of the corpus, of at most so many characters each.
 SAMPLE = 3000
+SAMPLE_CHARS = 200_000
 #: Code points that are worked on at a time.
 PIECE = 1 << 20
 
@@ -358,7 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, seed: int = 11)
     )
     # at most ``limit`` ids, so they can stand in the plan
     marks = docs.sparkSession.createDataFrame([(r[0], int(r[1] > 0)) for r in chosen], "doc_id long, good int")
-    rows = with_ids(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").collect()
+    rows = with_ids(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id")
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["good"] for r in rows])
 
