@@ -145,3 +145,29 @@ def test_what_cant_be_compiled(spark, body):
 
 def test_options_without_meaning_are_passed_over(spark):
     assert results(spark, 'rule o { events: metadata.id = "1" $e.metadata.id = "1" condition: $e options: allow_zero_values = true }') == []
+
+
+@pytest.mark.parametrize("direction", ["before", "after"])
+@pytest.mark.parametrize("unit, seconds", [("m", 60), ("h", 3600), ("d", 86400), ("w", 604800)])
+def test_pivot_windows_against_all_pairs(spark, direction, unit, seconds):
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(seconds)
+    start = datetime(2026, 3, 1)
+    rows = []
+    for i in range(150):
+        at = start + timedelta(seconds=r.choice([0, seconds, 2 * seconds, r.randrange(0, 9 * seconds)]))
+        rows.append((r.choice(["USER_LOGIN", "USER_LOGOUT"]), r.choice("pq"), at if i % 10 else None))
+    load_events(spark, [{"metadata": {"id": str(i), "event_type": k, "event_timestamp": t and t.isoformat()}, "target": {"user": {"userid": u}}} for i, (k, u, t) in enumerate(rows)], "near")
+    text = f"""rule w {{ events: $a.metadata.event_type = "USER_LOGIN" $u = $a.target.user.userid $b.metadata.event_type = "USER_LOGOUT"
+      $u = $b.target.user.userid match: $u over 1{unit} {direction} $a outcome: $n = count($b.metadata.id), $all = count($a.metadata.id) condition: $a }}"""
+    found = {x.u: (x.n, x["all"]) for x in compile_rule(parse_rule(text), spark.table("near")).collect()}
+    expected = {}
+    for k, u, t in rows:
+        if k == "USER_LOGIN":
+            sign = 1 if direction == "after" else -1
+            hits = sum(1 for k2, u2, t2 in rows if k2 == "USER_LOGOUT" and u2 == u and t and t2 and 0 <= sign * (t2 - t).total_seconds() <= seconds)
+            n, every = expected.get(u, (0, 0))
+            expected[u] = (n + hits, every + max(1, hits))
+    assert found == expected

@@ -227,9 +227,25 @@ class Compiler:
             if self.bucket_seconds:
                 seconds = F.unix_micros(time.cast("timestamp")).cast("double") / 1e6 / self.bucket_seconds
                 columns.append((F.floor(seconds) if self.floor else F.bround(seconds)).cast("bigint").alias(f"{name}__bucket"))
+            if self.pivot:
+                columns.append(self.near_buckets(name, time))
         columns += [self.typed(p).alias(n) for n, p in self.wanted[name].items()]
         return rows.select(*columns)
 
+    def near_buckets(self, name: str, time: Column) -> Column:
+        """Buckets of time, as long as the window at least, that an event can meet a pivot in.
+
+        A pivot has the bucket of its time. An event within the window after
+        it is in that bucket or the next, so it is dealt to its own and the one before; before the pivot,
+        the other way round. The pair meets in the pivot's bucket and nowhere else, so a key with a
+        long history is joined piece by piece.
+        """
+        longest = {**SECONDS, "month": 31 * 86400}[self.pivot.unit] * self.pivot.quantity
+        own = F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(longest * 1_000_000)).cast("bigint")
+        if name == self.first:
+            return own.alias(f"{name}__near")
+        return F.explode(F.array(own, own + (-1 if self.pivot.direction == "after" else 1))).alias(f"{name}__near")
+
     def typed(self, path: Path) -> Column:
         value, found = single(Path(path.steps), self.schema, self.document)
         return value.cast(found.kind if found else "string")
@@ -260,7 +276,7 @@ class Compiler:
             if self.bucket_seconds:
                 on.append(F.col(f"{name}__bucket") == F.col(f"{self.first}__bucket"))
             if self.pivot:
-                on.append(self.near(name))
+                on += [F.col(f"{name}__near") == F.col(f"{self.first}__near"), self.near(name)]
             # where the join depends on the group's keys alone, a group has all its rows matched or none
             whole = not self.bucket_seconds and not self.pivot and set(shared) <= keys
             kind = "inner" if whole and name in must else "left"
