@@ -61,6 +61,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a narrow key table that are broadcast at most; with more, the other side is shuffled.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """``keys``, computed once, marked for a broadcast if it has at most ``limit`` rows."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src, dst)``: one row ``(node, root)`` per linked node, root the smallest node.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm.common import components, cut, table, unused, with_ids
+from tracelight.llm.common import components, cut, small, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -133,8 +133,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
 def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays per component: that of the smallest id (null last).
 
-    Ids of rows that go are found on narrow rows and anti-joined, so texts are
-    shuffled once at most. Ids that several rows share, and null ids, can't tell
+    Ids of rows that go are found on narrow rows and anti-joined: by a broadcast
+    if they are few enough, else texts are shuffled once. Ids that several rows share, and null ids, can't tell
     rows apart; such rows only are fingerprinted again and told apart by
     id and fingerprint, and of rows with both in common one stays.
     """
@@ -146,8 +146,8 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3,
     both = fps.doc_id.eqNullSafe(stays.kept_id) & (fps.fp == stays.kept_fp)
     marked = fps.join(stays, both, "left").select("doc_id", "fp", F.col("kept_fp").isNotNull().alias("kept"))
     by_id = cut(marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
-    unclear = by_id.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other_id"))
-    gone = by_id.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("other_id"))
+    unclear = small(by_id.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other_id")))
+    gone = small(by_id.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("other_id")))
     clear = docs.where(F.col("doc_id").isNotNull()).join(gone, docs.doc_id == gone.other_id, "left_anti")
     again = docs.join(unclear, docs.doc_id.eqNullSafe(unclear.other_id), "left_semi")
     [own] = unused(docs, "fp_of_row")
