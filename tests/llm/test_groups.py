@@ -109,8 +109,8 @@ def test_near_duplicates(spark):
 def test_one_of_each_group_stays(spark):
     rows = near_texts()
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, fp_of_row string")
-    found = simhash.one_of_each(docs)
-    assert found.columns == docs.columns
+    found = simhash.one_of_each(docs, similarity=None)
+    assert found.columns == simhash.one_of_each(docs).columns == docs.columns
     kept = [(r.doc_id, r.text) for r in found.collect()]
     # ids may repeat between groups, so groups are told apart by their fingerprints
     fps = {plain_fingerprint(t) for _, t in rows}
@@ -200,3 +200,38 @@ def test_floats_are_compared_in_double_precision(spark):
 
 def test_unused_names(spark):
     assert unused(spark.createDataFrame([(1, 2)], "a int, B int"), "a", "b", "c") == ["a_", "b_", "c"]
+
+
+def jaccard(a, b):
+    def runs(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    x, y = runs(a), runs(b)
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_similar_documents_are_one_group(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(25):
+        base = [str(w) for w in r.choice(words, int(r.integers(60, 400)))]
+        texts.append(" ".join(base))
+        for share in (0.003, 0.01, 0.02, 0.06):
+            texts.append(" ".join("new" + str(int(r.integers(0, 9999))) if r.random() < share else w for w in base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    similar = [(a, b) for a in range(len(texts)) for b in range(a) if a // 5 == b // 5 and jaccard(texts[a], texts[b]) >= 0.8]
+    root = closure(range(len(texts)), similar)
+    # nothing goes that isn't similar to something that stays, and nine in ten of those that are go
+    groups = set(root.values())
+    assert {root[i] for i in kept} == groups and len(groups) < 0.5 * len(texts)
+    assert len(texts) - len(kept) >= 0.9 * (len(texts) - len(groups))
+    assert len(simhash.one_of_each(docs, similarity=None).collect()) > len(kept)
+
+
+def test_shingle_sets():
+    assert simhash.shingle_set(None).tolist() == simhash.shingle_set(" ").tolist() == []
+    assert len(simhash.shingle_set("a b")) == 1 and len(simhash.shingle_set("a b c d e f a b c d e")) == 6
+    assert simhash.shingle_set("A b c d e").tolist() == simhash.shingle_set("a  B\nc d e").tolist()

@@ -16,13 +16,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.llm.common import components, cut, small, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
+#: Word-set fingerprints of a document where similar documents are looked for.
+SETS = 4
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -73,6 +75,59 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     return with_ids(docs, "doc_id", "text").mapInArrow(batches, "doc_id long, fp long")
 
 
+def spread(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same words: one mixing function per seed."""
+    with np.errstate(over="ignore"):
+        h = hashes + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def normal_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def set_fingerprints(text: str | None, n: int = SETS) -> list[int]:
+    """SimHashes of the set of a text's words, each by another hash. Edits of a few words move them by few bits."""
+    words = set(normal_words(text))
+    if not words:
+        return [0] * n
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    return [majority(spread(hashes, i)) for i in range(n)]
+
+
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """32-bit hashes of a text's word shingles, rising, each once; fewer words make one shingle of them all."""
+    words = normal_words(text)
+    k = min(words_per_shingle, len(words))
+    found = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in found), dtype=np.uint32, count=len(found)).view(np.int32))
+
+
+def profiles(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``doc_id``, ``fp`` and the word-set fingerprints ``s0``, ``s1``, … of every row, in one pass over the texts."""
+    names = ["doc_id", "fp", *(f"s{i}" for i in range(SETS))]
+
+    def batches(it):
+        for batch in it:
+            rows = [[fingerprint(t, words_per_shingle, seed), *set_fingerprints(t)] for t in batch.column(1).to_pylist()]
+            columns = np.array(rows, dtype=np.uint64).reshape(-1, 1 + SETS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i]) for i in range(1 + SETS)]], names=names)
+
+    return with_ids(docs, "doc_id", "text").mapInArrow(batches, ", ".join(f"{n} long" for n in names))
+
+
+def variants(fps: DataFrame) -> DataFrame:
+    """``fp`` and ``variant``: each fingerprint's halves under their one-wildcard variants, 64 rows."""
+    low = F.lit(0xFFFFFFFF)
+    half = F.when(F.col("w") < 32, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", 32))
+    bit = F.expr("shiftleft(1L, w % 32)")
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select(
+        "fp", (half.bitwiseAND(F.bitwise_not(bit)) + F.shiftleft(F.col("w").cast("long"), 32)).alias("variant")
+    )
+
+
 def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """``src``, ``dst``: the distinct fingerprints of ``fps(fp)`` that differ in 1 to ``max_bits`` (at most 3) bits, each pair once.
 
@@ -82,12 +137,7 @@ def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if not 1 <= max_bits <= 3:
         raise ValueError("two halves with one wildcard find at most three differing bits")
-    low = F.lit(0xFFFFFFFF)
-    half = F.when(F.col("w") < 32, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", 32))
-    bit = F.expr("shiftleft(1L, w % 32)")
-    index = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")).select(
-        "fp", (half.bitwiseAND(F.bitwise_not(bit)) + F.shiftleft(F.col("w").cast("long"), 32)).alias("variant")
-    )
+    index = variants(fps)
     a, b = index.alias("a"), index.alias("b")
     pairs = a.join(
         b,
@@ -105,10 +155,61 @@ def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
-def rooted_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (the component's smallest fingerprint) of the distinct ones in ``fps``."""
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(linked_pairs(nodes.select("fp"), max_bits))
+def stars(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``src``, ``dst``: each fingerprint and the smallest one that shares a variant with it, where at most ``max_bits`` bits differ.
+
+    Rows grow with the fingerprints, however many are close to each other.
+    """
+    centre = F.min("fp").over(Window.partitionBy("variant"))
+    near = variants(fps).withColumn("centre", centre).where(f"fp <> centre AND bit_count(fp ^ centre) <= {max_bits}")
+    return near.select(F.col("fp").alias("src"), F.col("centre").alias("dst")).distinct()
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``src``, ``dst``: fingerprints in ``nodes(fp, first_id, s0, …)`` whose documents' five-word shingles have at least that Jaccard similarity.
+
+    Candidates are documents whose word-set fingerprints are the same or, by
+    the same variants as ever, near the smallest one around; each candidate is verified
+    on the two documents' whole shingle sets.
+    """
+    found = None
+    for i in range(SETS):
+        heads = nodes.groupBy(F.col(f"s{i}").alias("s")).agg(F.min("fp").alias("head"))
+        same = nodes.join(heads, nodes[f"s{i}"] == heads.s).where("fp <> head").select(F.col("fp").alias("src"), F.col("head").alias("dst"))
+        one, two = heads.select(F.col("s").alias("src"), F.col("head").alias("a")), heads.select(F.col("s").alias("dst"), F.col("head").alias("b"))
+        near = stars(heads.select(F.col("s").alias("fp"))).join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = same.union(near) if found is None else found.union(same).union(near)
+    pairs = cut(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    involved = cut(pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct())
+    ids = small(nodes.join(involved, "fp").select(F.col("first_id").alias("wanted_id")).distinct())
+    texts = with_ids(docs, "doc_id", "text")
+    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
+
+    def batches(it):
+        for batch in it:
+            words = batch.column(0).to_pylist()
+            fps = np.fromiter((fingerprint(t, 3, seed) for t in words), np.uint64, count=len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([shingle_set(t, words_per_shingle) for t in words], pa.list_(pa.int32()))], names=["fp", "shingles"])
+
+    sets = texts.mapInArrow(batches, "fp long, shingles array<int>").join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+    sets = cut(sets)
+    one, two = sets.select(F.col("fp").alias("src"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "src").join(two, "dst").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("src", "dst")
+
+
+def rooted_fingerprints(fps: DataFrame, max_bits: int = 3, docs: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (the component's smallest fingerprint) of the distinct ones in ``fps``.
+
+    With ``docs``, similar documents are linked as well.
+    """
+    sets = [c for c in fps.columns if c not in ("doc_id", "fp")]
+    kept = [F.min(F.struct(*sets)).alias("sets")] if sets else []
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *kept).select("fp", "first_id", *(["sets.*"] if sets else [])))
+    links = linked_pairs(nodes.select("fp"), max_bits)
+    if docs is not None:
+        links = links.union(similar_links(docs, nodes, similarity))
+    roots = components(links)
     return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
@@ -130,16 +231,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
     )
 
 
-def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, max_bits: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays per component: that of the smallest id (null last).
 
+    Documents are linked by their fingerprints as in ``near_duplicates``, and
+    with ``similarity`` also where their five-word shingles have that Jaccard
+    similarity, as far as word-set fingerprints bring them together (``similar_links``).
     Ids of rows that go are found on narrow rows and anti-joined: by a broadcast
     if they are few enough, else texts are shuffled once. Ids that several rows share, and null ids, can't tell
     rows apart; such rows only are fingerprinted again and told apart by
     id and fingerprint, and of rows with both in common one stays.
     """
-    fps = cut(fingerprints(docs, words_per_shingle, seed))
-    rooted = rooted_fingerprints(fps, max_bits)
+    fps = cut(fingerprints(docs) if similarity is None else profiles(docs))
+    rooted = rooted_fingerprints(fps, max_bits, None if similarity is None else docs, similarity or 1.0)
     # null ids stand after all others
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "fp")).alias("x"))
     stays = first.select(F.col("x.id").alias("kept_id"), F.col("x.fp").alias("kept_fp"))
@@ -155,7 +259,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, words_per_shingle: int = 3,
 
     def batches(it):
         for batch in it:
-            fp = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in batch.column(at).to_pylist()), np.uint64, count=batch.num_rows)
+            fp = np.fromiter((fingerprint(t) for t in batch.column(at).to_pylist()), np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
 
     again = again.mapInArrow(batches, T.StructType([*docs.schema, T.StructField(own, T.LongType())]))
