@@ -40,11 +40,16 @@ PROSE = (
         ("<article><p>x</p></article><p>after</p>", "x"),
         (f"<div><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div class='sidebar'><p>{PROSE}</p></div>", f"{PROSE}\n\nShort.\n\n{PROSE}"),
         (f"<div><p><a>Home</a> <a>About us</a></p><p>Menu line</p><p>x</p><p>{PROSE}</p><p>© 2020 by us</p></div>", f"x\n\n{PROSE}"),
-        (f"<p>{PROSE}</p><p>{string.ascii_letters * 8}</p>", PROSE),
+        # a long block without stop words goes with its neighbours
+        (f"<p>{PROSE}</p><p>{string.ascii_letters * 8}</p>", f"{PROSE}\n\n{string.ascii_letters * 8}"),
+        (f"<p>{PROSE}</p><p><a>m</a></p><p>{string.ascii_letters * 3}</p><p><a>m</a></p>", PROSE),
+        ("<p><a>m</a></p><p>It is the only text that there is on the page, and it is not that long.</p><p><a>m</a></p>", "It is the only text that there is on the page, and it is not that long."),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1\n\n2\n\n3"),
         ("<article><p>a</p></div></section><p>b</p>", "a\n\nb"),
         ("<article><p title='>'>a</p><p title=\"<p>\">b</p><img alt=x/><p>c &#8364; &#x20AC; &bogus;", "a\n\nb\n\nc € € &bogus;"),
         ("<article><p>a<br><br>b</p>", "a\n\nb"),
+        (f"<p>x</p><div><a>m</a></div><h2>Head</h2><h3>Sub</h3><p>{PROSE}</p><h2>Next</h2><div><a>Menu</a></div>", f"Head\n\nSub\n\n{PROSE}"),
+        (f"<div class=header>Site</div><div id='post-12' class='entry-content'><p>Short.</p><div class=share>Tweet</div><p>a b</p></div><p>{PROSE}</p>", "Short.\n\na b"),
         ("<article><p>cut off <b", "cut off <b"),
         ("<article><script>never closed <p>x", ""),
     ],
@@ -57,6 +62,8 @@ def test_ambiguous_blocks_follow_their_neighbours():
     assert html.second_pass(["short", "good", "short", "short", "bad", "short"]) == [True, True, True, False, False, False]
     assert html.second_pass(["good", "short", "bad", "near", "good"]) == [True, False, False, True, True]
     assert html.second_pass(["short", "near"]) == [True, True] and html.second_pass([]) == []
+    assert html.second_pass(["head", "head", "good", "head", "bad", "head"]) == [True, True, True, False, False, False]
+    assert html.second_pass(["head", "head"]) == [True, True]
 
 
 @settings(max_examples=200, deadline=None)

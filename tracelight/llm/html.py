@@ -51,6 +51,9 @@ AROUND = frozenset(
     sponsored subscribe subscription tagcloud toolbar topbar widget navigation contentinfo complementary alert""".split()
 )
 
+#: Parts of class names and ids of what holds an article where no element says so.
+WITHIN = frozenset("article articlebody content entry maincontent post story".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -63,7 +66,7 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 MAX_LINK_DENSITY, LENGTH_LOW, LENGTH_HIGH = 0.2, 70, 200
-STOPS_LOW, STOPS_HIGH = 0.30, 0.32
+STOPS_LOW, STOPS_HIGH = 0.06, 0.12
 #: Of an article's own block; a paragraph may well hold a few links.
 ARTICLE_LINK_DENSITY = 0.8
 
@@ -91,6 +94,15 @@ def around(attributes: str) -> bool:
     return False
 
 
+def within(attributes: str) -> bool:
+    """Whether an element's attributes say that it holds an article."""
+    found = ATTRIBUTE.findall(attributes)
+    named = [v.strip("\"'") for n, v in found if n.lower() in ("class", "id")]
+    return any(n.lower() == "role" and v.strip("\"'").lower() == "main" for n, v in found) or any(
+        p.lower() in WITHIN for v in named for p in PART.findall(v)
+    )
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, white space inside each turned into one space, references decoded."""
     out: list[Block] = []
@@ -161,7 +173,7 @@ def blocks(page: str) -> list[Block]:
         if name not in VOID and not m[4].endswith("/"):
             inside = any(s[2] for s in stack)
             outside = name in OUTSIDE or name == "header" and not inside or bool(m[4]) and name not in ("html", "body") and around(m[4])
-            stack.append((name, outside, name in ("article", "main")))
+            stack.append((name, outside, name in ("article", "main") or bool(m[4]) and name in BLOCK and name != "body" and within(m[4])))
             state["links"] += name == "a"
     text(page[at:])
     flush()
@@ -169,32 +181,39 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(b: Block, page_has_article: bool) -> str:
-    """good, bad, or what pass 2 settles: near (likely good) and short."""
+    """good, bad, or what pass 2 settles: near (likely good), short, and head for a heading."""
     length, density = len(b.text), b.linked / max(1, len(b.text))
     if b.place == "out":
         return "bad"
     if b.place == "in":
-        return "good" if density <= ARTICLE_LINK_DENSITY else "short" if b.heading else "bad"
+        return "good" if density <= ARTICLE_LINK_DENSITY else "head" if b.heading else "bad"
     if page_has_article or density > MAX_LINK_DENSITY or "©" in b.text:
         return "bad"
     if b.heading and length < LENGTH_HIGH:
-        return "short"
+        return "head"
     if length < LENGTH_LOW:
         return "bad" if b.linked else "short"
     words = WORDS.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH:
         return "good" if length > LENGTH_HIGH else "near"
-    return "near" if stops >= STOPS_LOW else "bad"
+    return "near" if stops >= STOPS_LOW or length > LENGTH_HIGH else "short"
 
 
 def second_pass(labels: list[str]) -> list[bool]:
     """Which blocks stay: an ambiguous one goes with its nearest decided neighbour.
 
     Two neighbours as near that disagree leave a likely good block in and a
-    short one out, as does the page's edge on one side; where no block is decided, all stay.
+    short one out; a heading goes with the block that it stands over. Where no block is decided, all stay.
     """
     n = len(labels)
+    if "head" in labels:
+        others = [i for i in range(n) if labels[i] != "head"]
+        found = dict(zip(others, second_pass([labels[i] for i in others])))
+        for i in range(n - 1, -1, -1):
+            # the last block's heading has nothing to stand over
+            found.setdefault(i, found.get(i + 1, not others))
+        return [found[i] for i in range(n)]
     before, after = [None] * n, [None] * n
     for near, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last = None
@@ -223,7 +242,11 @@ def main_text(page: str | None) -> str:
     """The page's main text: its blocks in order, joined by two newlines; empty for null, empty and text-free pages."""
     found = blocks(page or "")
     has_article = any(b.place == "in" for b in found)
-    keep = second_pass([first_pass(b, has_article) for b in found])
+    labels = [first_pass(b, has_article) for b in found]
+    if "good" not in labels:
+        # a page of little text: the likely blocks are what there is
+        labels = ["good" if x == "near" else x for x in labels]
+    keep = second_pass(labels)
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
