@@ -88,18 +88,24 @@ def stats(name: str, text: str, sql: str, shape: Callable[[DataFrame], DataFrame
     ORACLES[name] = sql
 
 
+def rounded(*names: str) -> Callable[[DataFrame], DataFrame]:
+    """Sums of doubles differ in their last digits by the order of the rows."""
+    return lambda df: df.withColumns({n: F.round(n, 6) for n in names})
+
+
 STATS = """match: metadata.log_type
 outcome: $n = count(target.port), $hosts = count_distinct(principal.hostname), $total = sum(target.port), $mean = avg(target.port),
   $least = min(extensions.value), $most = max(extensions.value), $spread = stddev(extensions.value),
   $first = earliest(metadata.event_timestamp), $last = latest(metadata.event_timestamp)"""
-STATS_SQL = f"""SELECT event_type AS metadata_log_type, count(port) AS n, count(DISTINCT host) AS hosts, sum(port)::BIGINT AS total, avg(port) AS mean,
-  min(value) AS least, max(value) AS most, stddev_samp(value) AS spread, min(ts) AS first, max(ts) AS last FROM {E} e GROUP BY 1"""
-stats("agg_all", STATS, STATS_SQL)
-stats("agg_all_variant", STATS, STATS_SQL, relation=variant_events)
+STATS_SQL = f"""SELECT event_type AS metadata_log_type, count(port) AS n, count(DISTINCT host) AS hosts, sum(port)::BIGINT AS total, round(avg(port), 6) AS mean,
+  min(value) AS least, max(value) AS most, round(stddev_samp(value), 6) AS spread, min(ts) AS first, max(ts) AS last FROM {E} e GROUP BY 1"""
+stats("agg_all", STATS, STATS_SQL, rounded("mean", "spread"))
+stats("agg_all_variant", STATS, STATS_SQL, rounded("mean", "spread"), variant_events)
 stats(
     "agg_global",
     'metadata.log_type = "error"\noutcome: $n = count(metadata.id), $users = count_distinct(principal.user.userid), $total = sum(extensions.value)',
-    "SELECT count(*) AS n, count(DISTINCT user_id) AS users, sum(value) AS total FROM events WHERE event_type = 'error'",
+    "SELECT count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 6) AS total FROM events WHERE event_type = 'error'",
+    rounded("total"),
 )
 stats(
     "agg_global_empty",
@@ -126,7 +132,8 @@ stats(
 stats(
     "match_placeholder",
     "$u = principal.user.userid\nmetadata.log_type = \"purchase\"\nmatch: $u\noutcome: $spent = sum(extensions.value)\norder: $spent desc, $u\nlimit: 10",
-    "SELECT user_id::VARCHAR AS u, sum(value) AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY spent DESC, u LIMIT 10",
+    "SELECT user_id::VARCHAR AS u, round(sum(value), 6) AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY spent DESC, u LIMIT 10",
+    rounded("spent"),
 )
 stats(
     "outcome_rows",
