@@ -250,6 +250,13 @@ def test_columns_are_system_variables(spark):
     assert json.loads(row.event) == {"metadata": {"id": "a", "event_timestamp": "2020-01-01T00:00:00Z"}}
 
 
+def test_other_names():
+    import tracelight
+
+    assert tracelight.run_parser is run_program and tracelight.parse_parser("filter { }").statements == ()
+    assert all(hasattr(tracelight, n) for n in tracelight.__all__)
+
+
 def test_statedump(capsys):
     run_program('filter { statedump { label => "here" } }', "m", created="x")
     assert json.loads(capsys.readouterr().err)["state"]["message"] == "m"

@@ -11,8 +11,11 @@ from tracelight.plans.rule import parse_rule
 from tracelight.session import session
 from tracelight.sources.events import event_relation, load_events, load_reference_list, read_events, typed_events, write_events
 
+#: The names that the log parser dialect's users may know these by.
+parse_parser, run_parser = parse_program, run_program
+
 __all__ = [
     "CompileError", "ExecutionError", "Field", "ProgramError", "QueryError", "RuleError", "Schema", "compile_query", "compile_rule",
-    "event_relation", "load_events", "load_reference_list", "parse", "parse_logs", "parse_program", "parse_rule", "read_events",
-    "rule_response", "run_program", "run_rule", "search", "search_response", "session", "typed_events", "write_events",
+    "event_relation", "load_events", "load_reference_list", "parse", "parse_logs", "parse_parser", "parse_program", "parse_rule", "read_events",
+    "rule_response", "run_parser", "run_program", "run_rule", "search", "search_response", "session", "typed_events", "write_events",
 ]
