@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,13 @@ def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches a few rows at a time, so that Python holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import table, with_ids
+from tracelight.llm.common import slices, table, with_ids
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -254,7 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def batches(it, shipped=shipped):
-            for batch in it:
+            for batch in slices(it):
                 rows = [(i, *leak) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in shipped.value.leaks(t)]
                 columns = zip(*rows) if rows else [[]] * len(SCHEMA)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
@@ -271,7 +271,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, overlap: float = OVER
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def batches(it, shipped=shipped):
-            for batch in it:
+            for batch in slices(it):
                 yield batch.filter(pa.array([not shipped.value.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(batches, docs.schema)

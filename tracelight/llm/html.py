@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.llm.common import table, with_ids
+from tracelight.llm.common import slices, table, with_ids
 
 #: Frequent function words of the languages that pages come in.
 STOP_WORDS = frozenset(
@@ -260,7 +260,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

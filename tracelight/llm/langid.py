@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import crc_bucket, table, with_ids
+from tracelight.llm.common import crc_bucket, slices, table, with_ids
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(it):
         m = shipped.value
-        for batch in it:
+        for batch in slices(it):
             said = [m.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -232,7 +232,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(it):
         m = shipped.value
-        for batch in it:
+        for batch in slices(it):
             yield batch.filter(pa.array([not m.rejects(m.predict(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

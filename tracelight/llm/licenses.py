@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.llm.common import table, with_ids
+from tracelight.llm.common import slices, table, with_ids
 
 #: Name and text of each template: short notices, header notices and whole short licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -199,7 +199,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for i, text in zip(ids, texts):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import crc_bucket, table, with_ids
+from tracelight.llm.common import crc_bucket, slices, table, with_ids
 
 #: Labelled documents that a model learns from, whatever the size of the corpus, of at most so many characters each.
 SAMPLE = 3000
@@ -375,7 +375,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             found = scores(shipped.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -388,7 +388,7 @@ def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
     at = docs.columns.index("text")
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             yield batch.filter(pa.array(scores(shipped.value, batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm.common import components, cut, small, table, unused, with_ids
+from tracelight.llm.common import components, cut, slices, small, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
 #: Word-set fingerprints of a document where similar documents are looked for.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     """``doc_id`` and ``fp``, the fingerprint as a signed long, of every row."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             fps = np.fromiter(
                 (fingerprint(t, words_per_shingle, seed) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows
             )
@@ -110,7 +110,7 @@ def profiles(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> Dat
     names = ["doc_id", "fp", *(f"s{i}" for i in range(SETS))]
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             rows = [[fingerprint(t, words_per_shingle, seed), *set_fingerprints(t)] for t in batch.column(1).to_pylist()]
             columns = np.array(rows, dtype=np.uint64).reshape(-1, 1 + SETS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i]) for i in range(1 + SETS)]], names=names)
@@ -186,7 +186,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words_pe
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             words = batch.column(0).to_pylist()
             fps = np.fromiter((fingerprint(t, 3, seed) for t in words), np.uint64, count=len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([shingle_set(t, words_per_shingle) for t in words], pa.list_(pa.int32()))], names=["fp", "shingles"])
@@ -258,7 +258,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, similarity: float | None = 0
     at = docs.columns.index("text")
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             fp = np.fromiter((fingerprint(t) for t in batch.column(at).to_pylist()), np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
 
