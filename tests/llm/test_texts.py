@@ -426,3 +426,17 @@ def test_other_scripts_are_rejected(spark):
     model = langid.fit(docs)
     assert all(model.rejects(model.predict(t)) for t in ("Привет мир это русский текст о погоде и природе", "这是一个中文句子，用来测试语言识别。", "αβγδε ζηθικ λμνξο"))
     assert langid.identified(docs, model).count() >= 0.999 * docs.count()
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b", "x"), *[(1, "a", "x")] * 50, (None, "c", "y"), (2, None, "x"), (3, "d", None)], "doc_id long, text string, lang string")
+    assert sorted(map(str, (tuple(r) for r in langid.sample(docs, 1000).collect()))) == ["(1, 'a', 'x')", "(None, 'c', 'y')"]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    keep = quality.train
+    try:
+        quality.train = lambda texts, good: seen.append((texts, good)) or keep(texts, good)
+        quality.fit(docs, labels)
+    finally:
+        quality.train = keep
+    assert seen == [(["a", ""], [1, 0])]

@@ -179,7 +179,10 @@ def calibrate(model: Model, held: list[tuple[str, int]], reject_share: float = R
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 3) -> DataFrame:
-    """About ``per_language`` rows ``text``, ``lang`` of each language, chosen by a hash of the id: a bounded sample for the driver."""
+    """About ``per_language`` rows ``doc_id``, ``text``, ``lang`` of each language, chosen by a hash of the id: a bounded sample for the driver.
+
+    Of rows with the same id, however many, one is taken: that of the least text.
+    """
     rows = with_ids(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= SAMPLE_CHARS)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -187,9 +190,10 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int =
     if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not limits:
-        return rows.select("text", "lang").limit(0)
+        return rows.limit(0)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    return rows.where(draw < F.element_at(limit, F.col("lang"))).select("doc_id", "text", "lang")
+    drawn = rows.where(draw < F.element_at(limit, F.col("lang")))
+    return drawn.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:

@@ -346,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, seed: int = 11)
 
     A document with several labels counts by the lowest; null labels and ids,
     and labels without a document, are passed over; of documents with the same
-    id, all count.
+    id, however many, one counts: that of the least text.
     """
     chosen = (
         with_ids(labels, "doc_id", "quality")
@@ -360,7 +360,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, seed: int = 11)
     # at most ``limit`` ids, so they can stand in the plan
     marks = docs.sparkSession.createDataFrame([(r[0], int(r[1] > 0)) for r in chosen], "doc_id long, good int")
     rows = with_ids(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id")
-    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).collect()
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    rows = rows.groupBy("doc_id", "good").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["good"] for r in rows])
 
