@@ -235,3 +235,22 @@ def test_shingle_sets():
     assert simhash.shingle_set(None).tolist() == simhash.shingle_set(" ").tolist() == []
     assert len(simhash.shingle_set("a b")) == 1 and len(simhash.shingle_set("a b c d e f a b c d e")) == 6
     assert simhash.shingle_set("A b c d e").tolist() == simhash.shingle_set("a  B\nc d e").tolist()
+
+
+def test_similar_documents_are_compared_beyond_one_partner(spark):
+    # the same words in another order: one word-set fingerprint, of whose texts only the smallest was compared
+    r = np.random.default_rng(5)
+    texts = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(3):
+            base = [str(w) for w in r.permutation(words)]
+            swapped = list(base)
+            # swapped words break up to ten of 116 shingles
+            swapped[40], swapped[41] = swapped[41], swapped[40]
+            swapped[80], swapped[81] = swapped[81], swapped[80]
+            texts += [" ".join(base), " ".join(swapped)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    similar = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(similar) == 36 and kept == set(range(0, 72, 2))

@@ -13,6 +13,8 @@ never expanded into pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,8 +25,11 @@ from pyspark.sql import types as T
 from tracelight.llm.common import components, cut, slices, small, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
-#: Word-set fingerprints of a document where similar documents are looked for.
-SETS = 4
+#: Distinct texts, about, whose shingles are counted, and frequent shingles that are told from others, at most.
+COMMON_SAMPLE = 8_192
+MAX_COMMON = 1 << 17
+#: Shingles in common that make two documents a candidate pair.
+SHARED = 8
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -75,26 +80,12 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     return with_ids(docs, "doc_id", "text").mapInArrow(batches, "doc_id long, fp long")
 
 
-def spread(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of the same words: one mixing function per seed."""
-    with np.errstate(over="ignore"):
-        h = hashes + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def set_fingerprints(text: str | None, n: int = SETS) -> list[int]:
-    """SimHashes of the set of a text's words, each by another hash. Edits of a few words move them by few bits."""
-    words = set(normal_words(text))
-    if not words:
-        return [0] * n
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    return [majority(spread(hashes, i)) for i in range(n)]
+def text_key(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words))
 
 
 def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -105,17 +96,61 @@ def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in found), dtype=np.uint32, count=len(found)).view(np.int32))
 
 
-def profiles(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id``, ``fp`` and the word-set fingerprints ``s0``, ``s1``, … of every row, in one pass over the texts."""
-    names = ["doc_id", "fp", *(f"s{i}" for i in range(SETS))]
+def shingle_hashes(words: list[bytes], words_per_shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the words' shingles, rising, each once; fewer words make one shingle of them all."""
+    k = min(words_per_shingle, len(words))
+    found = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in found), dtype=np.uint64, count=len(found)).view(np.int64))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of distinct texts, rising, and how many of its texts have each.
+
+    They only decide the order of shingles: any order finds the same links, and
+    one with frequent shingles last finds them with few candidates.
+    """
+    parts = max(1, docs.count() // COMMON_SAMPLE)
+    texts = with_ids(docs, "text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
 
     def batches(it):
         for batch in slices(it):
-            rows = [[fingerprint(t, words_per_shingle, seed), *set_fingerprints(t)] for t in batch.column(1).to_pylist()]
-            columns = np.array(rows, dtype=np.uint64).reshape(-1, 1 + SETS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i]) for i in range(1 + SETS)]], names=names)
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(normal_words(t)))], names=["token"])
+
+    counts = texts.mapInArrow(batches, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token")
+    rows = sorted(counts.limit(MAX_COMMON).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def head(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles, frequent ones last, of which two sets of at least that Jaccard similarity have ``SHARED`` in common, or all.
+
+    Both have at least that share of their own shingles in common, so of each
+    no more than the rest can stand before or between the first common ones.
+    """
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + SHARED]
 
-    return with_ids(docs, "doc_id", "text").mapInArrow(batches, ", ".join(f"{n} long" for n in names))
+
+def profiles(docs: DataFrame, similarity: float, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``doc_id``, ``fp``, ``key`` (a hash of the words), ``n`` (five-word shingles) and ``head`` (the first of them) of every row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def batches(it):
+        for batch in slices(it):
+            texts = batch.column(1).to_pylist()
+            fps = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in texts), np.uint64, count=len(texts)).view(np.int64)
+            words = [normal_words(t) for t in texts]
+            keys = np.fromiter((text_key(w) for w in words), np.uint64, count=len(words)).view(np.int64)
+            hashes = [shingle_hashes(w) for w in words]
+            heads = pa.array([head(h, shipped.value, similarity) for h in hashes], pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array(fps), pa.array(keys), pa.array([len(h) for h in hashes], pa.int32()), heads]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "n", "head"])
+
+    return with_ids(docs, "doc_id", "text").mapInArrow(batches, "doc_id long, fp long, key long, n int, head array<long>")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -155,60 +190,63 @@ def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
-def stars(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """``src``, ``dst``: each fingerprint and the smallest one that shares a variant with it, where at most ``max_bits`` bits differ.
-
-    Rows grow with the fingerprints, however many are close to each other.
-    """
-    centre = F.min("fp").over(Window.partitionBy("variant"))
-    near = variants(fps).withColumn("centre", centre).where(f"fp <> centre AND bit_count(fp ^ centre) <= {max_bits}")
-    return near.select(F.col("fp").alias("src"), F.col("centre").alias("dst")).distinct()
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
-    """``src``, ``dst``: fingerprints in ``nodes(fp, first_id, s0, …)`` whose documents' five-word shingles have at least that Jaccard similarity.
+def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """``src``, ``dst``: links ``near`` between fingerprints, and more, that join all whose documents have at least that similarity.
 
-    Candidates are documents whose word-set fingerprints are the same or, by
-    the same variants as ever, near the smallest one around; each candidate is verified
-    on the two documents' whole shingle sets.
+    Of the distinct texts in ``fps`` (``profiles`` of ``docs``), two as similar as that
+    have ``SHARED`` shingles of their heads in common (all of them, if they are fewer), so an equality
+    join on shingles, and a count, misses none. In a first turn texts are compared with the
+    smallest that has a shingle of theirs, so that large groups of near copies are mostly
+    joined; in the second, all with shingles in common that aren't joined yet
+    are compared. Each pair is verified on the two texts' whole shingle sets.
     """
-    found = None
-    for i in range(SETS):
-        heads = nodes.groupBy(F.col(f"s{i}").alias("s")).agg(F.min("fp").alias("head"))
-        same = nodes.join(heads, nodes[f"s{i}"] == heads.s).where("fp <> head").select(F.col("fp").alias("src"), F.col("head").alias("dst"))
-        one, two = heads.select(F.col("s").alias("src"), F.col("head").alias("a")), heads.select(F.col("s").alias("dst"), F.col("head").alias("b"))
-        near = stars(heads.select(F.col("s").alias("fp"))).join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = same.union(near) if found is None else found.union(same).union(near)
-    pairs = cut(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    involved = cut(pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct())
-    ids = small(nodes.join(involved, "fp").select(F.col("first_id").alias("wanted_id")).distinct())
-    texts = with_ids(docs, "doc_id", "text")
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
-
-    def batches(it):
-        for batch in slices(it):
-            words = batch.column(0).to_pylist()
-            fps = np.fromiter((fingerprint(t, 3, seed) for t in words), np.uint64, count=len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([shingle_set(t, words_per_shingle) for t in words], pa.list_(pa.int32()))], names=["fp", "shingles"])
-
-    sets = texts.mapInArrow(batches, "fp long, shingles array<int>").join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles"))
-    sets = cut(sets)
-    one, two = sets.select(F.col("fp").alias("src"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "src").join(two, "dst").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("src", "dst")
+    texts = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
+    every = fps.groupBy("key").agg(F.first("head").alias("head")).select("key", F.explode("head").alias("token"))
+    same = Window.partitionBy("token")
+    every = every.select("key", "token", F.min("key").over(same).alias("lo"), F.max("key").over(same).alias("hi")).where("lo <> hi")
+    heads = cut(every.drop("hi").join(texts.select("key", "fp", "n"), "key"))
+
+    def verified(shared: DataFrame) -> DataFrame:
+        """Of a row per pair ``k``, ``l`` and shingle in common, the links of similar pairs."""
+        enough = f"c >= least({SHARED}, ceil({similarity} * greatest(any_n, any_m) - 1e-9))"
+        pairs = shared.groupBy("k", "l").agg(F.count("*").alias("c"), *[F.first(x).alias(f"any_{x}") for x in ("n", "m", "src", "dst")])
+        pairs = cut(pairs.where(enough).select("k", "l", F.col("any_src").alias("src"), F.col("any_dst").alias("dst")))
+        involved = cut(pairs.select(F.col("k").alias("key")).union(pairs.select("l")).distinct())
+        ids = small(texts.join(involved, "key").select(F.col("first_id").alias("wanted_id")).distinct())
+        rows = with_ids(docs, "doc_id", "text")
+        rows = rows.join(ids, rows.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
+
+        def batches(it):
+            for batch in slices(it):
+                found = batch.column(0).to_pylist()
+                keys = np.fromiter((text_key(normal_words(t)) for t in found), np.uint64, count=len(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([shingle_set(t) for t in found], pa.list_(pa.int32()))], names=["key", "shingles"])
+
+        sets = rows.mapInArrow(batches, "key long, shingles array<int>").join(involved, "key", "left_semi")
+        sets = cut(sets.groupBy("key").agg(F.min("shingles").alias("shingles")))
+        one, two = sets.select(F.col("key").alias("k"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("l"), F.col("shingles").alias("y"))
+        overlap = F.size(F.array_intersect("x", "y"))
+        return pairs.join(one, "k").join(two, "l").where(overlap >= similarity * (F.size("x") + F.size("y") - overlap) - 1e-9).select("src", "dst")
+
+    fits = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
+    row = ["a.key AS k", "b.key AS l", "a.n AS n", "b.n AS m", "a.fp AS src", "b.fp AS dst"]
+    first = heads.alias("a").join(texts.alias("b"), F.expr(f"a.lo = b.key AND a.fp <> b.fp AND {fits}")).selectExpr(*row)
+    links = cut(near.union(verified(first)))
+    roots = components(links)
+    heads = cut(heads.join(roots, heads.fp == roots.node, "left").select("token", "key", "fp", "n", F.coalesce("root", "fp").alias("root")))
+    rest = heads.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.key < b.key AND a.root <> b.root AND {fits}")).selectExpr(*row)
+    return links.union(verified(rest))
 
 
 def rooted_fingerprints(fps: DataFrame, max_bits: int = 3, docs: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
     """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (the component's smallest fingerprint) of the distinct ones in ``fps``.
 
-    With ``docs``, similar documents are linked as well.
+    With ``docs`` (``fps`` are their ``profiles``), similar documents are linked as well.
     """
-    sets = [c for c in fps.columns if c not in ("doc_id", "fp")]
-    kept = [F.min(F.struct(*sets)).alias("sets")] if sets else []
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *kept).select("fp", "first_id", *(["sets.*"] if sets else [])))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     links = linked_pairs(nodes.select("fp"), max_bits)
     if docs is not None:
-        links = links.union(similar_links(docs, nodes, similarity))
+        links = similar_links(docs, fps, links, similarity)
     roots = components(links)
     return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
@@ -236,13 +274,13 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, similarity: float | None = 0
 
     Documents are linked by their fingerprints as in ``near_duplicates``, and
     with ``similarity`` also where their five-word shingles have that Jaccard
-    similarity, as far as word-set fingerprints bring them together (``similar_links``).
+    similarity (``similar_links``).
     Ids of rows that go are found on narrow rows and anti-joined: by a broadcast
     if they are few enough, else texts are shuffled once. Ids that several rows share, and null ids, can't tell
     rows apart; such rows only are fingerprinted again and told apart by
     id and fingerprint, and of rows with both in common one stays.
     """
-    fps = cut(fingerprints(docs) if similarity is None else profiles(docs))
+    fps = cut(fingerprints(docs) if similarity is None else profiles(docs, similarity))
     rooted = rooted_fingerprints(fps, max_bits, None if similarity is None else docs, similarity or 1.0)
     # null ids stand after all others
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "fp")).alias("x"))
