@@ -309,6 +309,24 @@ def test_leaks_are_those_of_brute_force():
     assert index.leaks(None) == index.leaks("") == index.leaks("!!") == [] and decontaminate.Index([]).leaks("a b c d e f") == []
 
 
+def test_leaks_with_inserted_runs_are_found():
+    r = np.random.default_rng(6)
+    items = list(enumerate(made_items(r, 40)))
+    index = decontaminate.Index(items)
+    hits = 0
+    for i, text in items:
+        item = decontaminate.words(text)
+        for n in (1, 40, 3000):
+            cut = int(r.integers(0, len(item) + 1))
+            doc = " ".join([*item[:cut], *(f"n{j}" for j in range(n)), *item[cut:]])
+            there = set(decontaminate.shingles(decontaminate.words(doc)))
+            wanted = decontaminate.shingles(item)
+            expected = sum(s in there for s in wanted) >= 0.8 * len(wanted) - 1e-9
+            assert (i in {x[0] for x in index.leaks(doc)}) == expected
+            hits += expected
+    assert hits > 60
+
+
 def test_wand_finds_what_scoring_everything_finds():
     r = np.random.default_rng(9)
     index = decontaminate.Index(list(enumerate(made_items(r, 80))))

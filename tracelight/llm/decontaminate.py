@@ -1,21 +1,22 @@
 """Benchmark decontamination: block-max WAND over a BM25 index of the test items.
 
-The inverted index holds the test items; every passage of every training
-document is a query. A passage is a window of words that is long enough to
-hold a whole item, and windows overlap so that each item's copy lies in one.
+The inverted index holds the test items; every training document is a query:
+its words that lie in a shingle of any item, wherever they stand, so that an
+item counts however much is inserted between its parts.
 
-An item's BM25 weights are divided by the least score that a passage which
+An item's BM25 weights are divided by the least score that a document which
 passes verification can have (its total, less its heaviest words as often as
 verification lets words be missing), so that a score of 1 is the threshold for
 every item and nothing that would be verified is lost. Items stand in blocks by
-length. A block's bound for a window is the sum of its largest weights of the
-window's words; where no bound reaches 1 the window is done, and where one
+length. A block's bound for a document is the sum of its largest weights of the
+document's words; where no bound reaches 1 the document is done, and where one
 does, WAND moves through the posting lists and scores only items that can still
 reach 1.
 
 A retrieved item counts if at least 0.8 of its five-word shingles stand in
-the passage; question (all but the last sentence) and answer (the last) are
-reported by themselves as well.
+the document; question (all but the last sentence) and answer (the last) are
+reported by themselves as well, as they stand between the item's first and last
+shingle there and as many words around as the item has.
 """
 
 from __future__ import annotations
@@ -40,10 +41,8 @@ OVERLAP = 0.8
 #: Items indexed, and sent to executors, at a time; more items are searched for in turns.
 ITEMS_AT_A_TIME = 20_000
 CHARS_AT_A_TIME = 20_000_000
-#: Windows begin at multiples of so many words.
-STRIDE = 8
 BLOCKS = 24
-#: Words of a document that are bounded at a time.
+#: Words of a document that are looked up at a time.
 PIECE = 1 << 18
 
 WORD = re.compile(r"\w+")
@@ -70,6 +69,16 @@ def shingles(ids: Sequence[int], n: int = SHINGLE) -> list[tuple[int, ...]]:
     return [tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)]
 
 
+def codes(ids: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of ``n`` word numbers."""
+    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = (out + ids[i : i + len(out)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int | None
@@ -103,13 +112,12 @@ class Index:
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.vocabulary]
         #: largest weight of each word in each block; the last row stands for all other words
         self.bounds = np.zeros((len(self.vocabulary) + 1, blocks), np.float32)
-        spans = [0] * blocks
         for k, x in enumerate(self.items):
             weight = {
                 w: math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x.ids) / mean))
                 for w, c in Counter(x.ids).items()
             }
-            # a missing word breaks one shingle at least
+            # a word that no shingle found there has breaks one shingle at least
             missing = math.floor((1 - overlap) * len(x.whole) + 1e-9)
             ordered = sorted(weight.values(), reverse=True)
             need = max(sum(ordered[missing:]), 0.05 * sum(ordered)) * (1 - 1e-6)
@@ -118,27 +126,17 @@ class Index:
                 self.postings[w][0].append(k)
                 self.postings[w][1].append(v / need)
                 self.bounds[w, b] = max(self.bounds[w, b], np.float32(v / need * (1 + 1e-6)))
-            # what verification accepts lies within this many words
-            spans[b] = max(spans[b], len(x.ids) + missing + SHINGLE)
-        #: window lengths by block, in strides; one more than the words need, as windows begin at strides
-        self.strides = np.array([math.ceil(s / STRIDE) + 1 for s in spans], np.int64)
+        self.codes = np.unique(np.concatenate([codes(np.array(x.ids)) for x in self.items] or [np.zeros(0, np.uint64)]))
         self.top = [max(p[1], default=0.0) for p in self.postings]
 
-    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Of the document's words, windows (first word, block) whose bound reaches 1."""
-        most = int(self.strides.max())
-        for at in range(0, max(1, len(ids)), PIECE):
-            part = ids[at : at + PIECE + most * STRIDE]
-            rows = -(-len(part) // STRIDE)
-            padded = np.full(rows * STRIDE, len(self.vocabulary), np.int64)
-            padded[: len(part)] = part
-            sums = self.bounds[padded].reshape(rows, STRIDE, -1).sum(axis=1, dtype=np.float64)
-            total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)])
-            begins = np.arange(min(rows, PIECE // STRIDE))
-            ends = np.minimum(begins[:, None] + self.strides[None, :], rows)
-            bound = np.take_along_axis(total, ends, axis=0) - total[begins]
-            for i, b in np.argwhere(bound >= 1):
-                yield at + int(i) * STRIDE, int(b)
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where in the document's words a shingle of any item begins."""
+        out = []
+        for at in range(0, len(ids), PIECE):
+            part = codes(ids[at : at + PIECE + SHINGLE - 1])
+            near = np.minimum(np.searchsorted(self.codes, part), len(self.codes) - 1)
+            out.append(at + np.flatnonzero(self.codes[near] == part))
+        return np.concatenate(out)
 
     def wand(self, terms: Sequence[int], blocks: set[int]) -> list[tuple[int, float]]:
         """Items of the blocks whose score for the words reaches 1: weak AND over posting lists, one cursor a word.
@@ -189,41 +187,43 @@ class Index:
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int | None, float, float, float, float]]:
-        """Item, score, and the overlaps of the whole item, its question and its answer, of every leaked item, best passage each."""
+        """Item, score, and the overlaps of the whole item, its question and its answer, of every leaked item."""
         if not text or not self.items:
             return []
         own = words(text)
         if not own:
             return []
         ids = np.fromiter(map(self.vocabulary.get, own, repeat(len(self.vocabulary))), np.int64, count=len(own))
-        by_begin: dict[int, set[int]] = {}
-        for begin, block in self.windows(ids):
-            by_begin.setdefault(begin, set()).add(block)
-        best: dict[int, tuple] = {}
-        for begin, blocks in sorted(by_begin.items()):
-            long = begin + STRIDE * max(int(self.strides[b]) for b in blocks)
-            here = ids[begin:long].tolist()
-            terms = sorted({t for t in here if t < len(self.vocabulary)})
-            retrieved = self.wand(terms, blocks)
-            if not retrieved:
+        places = self.places(ids)
+        if not len(places):
+            return []
+        terms = np.unique(ids[places[:, None] + np.arange(SHINGLE)])
+        terms = terms[terms < len(self.vocabulary)]
+        blocks = set(np.flatnonzero(self.bounds[terms].sum(axis=0, dtype=np.float64) >= 1).tolist())
+        retrieved = self.wand(terms.tolist(), blocks) if blocks else []
+        if not retrieved:
+            return []
+        stands: dict[tuple, list[int]] = {}
+        for p in places.tolist():
+            stands.setdefault(tuple(ids[p : p + SHINGLE].tolist()), []).append(p)
+        best = []
+        for k, score in retrieved:
+            x = self.items[k]
+            there = [stands[s] for s in x.whole if s in stands]
+            whole = len(there) / len(x.whole)
+            if whole < self.overlap - 1e-9:
                 continue
-            present: dict[int, set] = {}
-            for k, score in retrieved:
-                x = self.items[k]
-
-                def share(wanted, seen=present, here=here) -> float:
-                    if not wanted:
-                        return 1.0
-                    n = len(wanted[0])
-                    if n not in seen:
-                        seen[n] = set(zip(*(here[i:] for i in range(n))))
-                    return sum(s in seen[n] for s in wanted) / len(wanted)
-
-                whole = share(x.whole)
-                if whole >= self.overlap - 1e-9:
-                    row = (whole, score, share(x.question), share(x.answer))
-                    best[k] = max(best.get(k, row), row)
-        return [(self.items[k].item_id, s, w, q, a) for k, (w, s, q, a) in sorted(best.items())]
+            first, last = min(p[0] for p in there), max(p[-1] for p in there)
+            here = ids[max(0, first - len(x.ids)) : last + SHINGLE + len(x.ids)].tolist()
+
+            def share(wanted, here=here) -> float:
+                if not wanted:
+                    return 1.0
+                seen = set(zip(*(here[i:] for i in range(len(wanted[0])))))
+                return sum(s in seen for s in wanted) / len(wanted)
+
+            best.append((k, score, whole, share(x.question), share(x.answer)))
+        return [(self.items[k].item_id, *row) for k, *row in sorted(best)]
 
 
 def indexes(benchmark: DataFrame, overlap: float = OVERLAP, at_a_time: int = ITEMS_AT_A_TIME) -> Iterator[Index]:
