@@ -431,6 +431,24 @@ def test_templates_are_found(spark):
         licenses.Scanner(threshold=0)
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+        (licenses.TEMPLATES[7][1].split("Neither")[0], "BSD-2-Clause"),
+    ],
+)
+def test_siblings_have_their_own_names(text, name):
+    assert [m[3].name for m in licenses.Scanner().matches(f"some words {text} and more")] == [name]
+
+
 @tables
 def test_licence_lines_of_the_test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

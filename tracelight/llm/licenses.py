@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelight.llm.common import slices, table, with_ids
 
 #: Name and text of each template: short notices, header notices and whole short licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -76,6 +76,63 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+BSD_2 = NOTICES[7][1].split("Neither the name")[0]
+GNU = (
+    ("GPL-1.0", "General", "1"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"),
+    ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+)
+CC = ("Attribution", "BY"), ("ShareAlike", "SA"), ("NonCommercial", "NC"), ("NoDerivatives", "ND")
+CC_PARTS = (0,), (0, 1), (0, 2), (0, 3), (0, 2, 1), (0, 2, 3)
+CC_VERSIONS = ("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")
+
+
+def siblings() -> list[tuple[str, str]]:
+    """Templates of the other common licences and versions, so that a notice isn't named after its sibling."""
+    out = []
+    for name, kind, version in GNU:
+        out += [
+            (name, f"This work is licensed under the GNU {kind} Public License, version {version}."),
+            (name, NOTICES[6][1].replace("GNU General", f"GNU {kind}").replace("version 3 of", f"version {version} of")),
+        ]
+        if kind.startswith(("Lesser", "Library")):
+            out[-1] = (name, out[-1][1].replace("This program", "This library"))
+    for parts in CC_PARTS:
+        short, long = ("-".join(CC[i][k] for i in parts) for k in (1, 0))
+        for version, kind in CC_VERSIONS:
+            out += [
+                (f"CC-{short}-{version}", f"Licensed under CC {short} {version}."),
+                (f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {long} {version} {kind} License."),
+            ]
+    for version in ("1.0", "1.1", "2.0"):
+        out.append((f"Apache-{version}", f"Licensed under the Apache License, Version {version}."))
+        out.append((f"MPL-{version}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {version}."))
+        out.append((f"MPL-{version}", f"Licensed under the Mozilla Public License, Version {version}."))
+    for version in ("1.0", "2.0"):
+        out.append((f"EPL-{version}", f"Licensed under the Eclipse Public License, Version {version}."))
+    for name, called in (
+        ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("Unlicense", "Unlicense"),
+        ("Zlib", "zlib License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("0BSD", "BSD Zero Clause License"),
+    ):
+        out.append((name, f"Released under the {called}."))
+    out += [
+        ("CC0-1.0", "Licensed under CC0 1.0."),
+        ("BSD-2-Clause", BSD_2),
+        ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+        (
+            "Unlicense",
+            """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+            sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+            non-commercial, and by any means.""",
+        ),
+        (
+            "BSL-1.0",
+            "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        ),
+    ]
+    return out
+
+
+TEMPLATES: tuple[tuple[str, str], ...] = (*NOTICES, *(x for x in siblings() if x not in NOTICES))
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
 
@@ -119,6 +176,7 @@ class Scanner:
         codes = np.array([a * len(self.vocabulary) + b for a, b in numbers], np.int64)
         order = np.argsort(codes)
         self.codes, self.numbers = codes[order], order.astype(np.int64)
+        self.least = np.array([t.least for t in self.templates])
         self.member = np.zeros((len(self.templates), len(numbers)), bool)
         for k, t in enumerate(self.templates):
             self.member[k, list(t.grams)] = True
@@ -137,12 +195,10 @@ class Scanner:
         hit = self.codes[at] == code
         places, grams = known[hit], self.numbers[at[hit]]
         out: list[tuple[int, int, float, Template]] = []
-        for k, t in enumerate(self.templates):
-            if len(found) - 1 < t.least:
-                continue
+        counts = self.member[:, grams].sum(axis=1)
+        for k in np.flatnonzero((counts >= self.least) & (len(found) - 1 >= self.least)).tolist():
             own = self.member[k, grams]
-            if own.sum() >= t.least:
-                out += self.passages(places[own], grams[own], t)
+            out += self.passages(places[own], grams[own], self.templates[k])
         # the most shared bigrams, and of as many the closer template
         out.sort(key=lambda m: (-round(m[2] * (m[1] - 1 + m[3].size) / 2), -m[2], m[0], m[3].number))
         taken, kept = np.zeros(len(found), bool), []
