@@ -58,6 +58,19 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<h1 class='entry-title'>T</h1><div><p>{PROSE}</p></div>", f"T\n\n{PROSE}"),
+        (f"<div class='has-sidebar'><main><p>{PROSE}</p><p>x</p></main><div class='sidebar'><p>buy</p></div></div>", f"{PROSE}\n\nx"),
+        (f"<div class='with-header'><p>{PROSE}</p></div>", PROSE),
+        (f"<div><p>{PROSE}</p></div><article><h2><a>One</a></h2><p><a>More</a></p></article><article><p><a>Two</a> it is</p></article>", PROSE),
+    ],
+)
+def test_names_do_not_outweigh_the_text(page, text):
+    assert html.main_text(page) == text
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     assert html.second_pass(["short", "good", "short", "short", "bad", "short"]) == [True, True, True, False, False, False]
     assert html.second_pass(["good", "short", "bad", "near", "good"]) == [True, False, False, True, True]

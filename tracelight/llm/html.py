@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,22 +78,29 @@ class Block:
     heading: bool
     #: out (what is around the text), in (an article's or main's own) or open
     place: str
+    #: the outermost element that a class, id or role puts around the text: where its tag begins, -1 without one or in what is never text
+    cause: int = -1
+    #: the outermost element that holds an article, by where its tag begins
+    holder: int = -1
 
 
-def around(attributes: str) -> bool:
-    """Whether an element's attributes say that it isn't part of the text."""
+def hidden(attributes: str) -> bool:
+    """Whether an element's attributes say that it isn't shown."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(p.lower() in AROUND for p in PART.findall(value)):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def around(attributes: str) -> bool:
+    """Whether an element's class, id or role says that it isn't part of the text."""
+    found = ATTRIBUTE.findall(attributes)
+    return any(p.lower() in AROUND for n, v in found if n.lower() in ("class", "id", "role") for p in PART.findall(v.strip("\"'")))
+
+
 def within(attributes: str) -> bool:
     """Whether an element's attributes say that it holds an article."""
     found = ATTRIBUTE.findall(attributes)
@@ -103,11 +110,14 @@ def within(attributes: str) -> bool:
     )
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, white space inside each turned into one space, references decoded."""
+def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
+    """The page's blocks of text in order, white space inside each turned into one space, references decoded.
+
+    Elements whose tags begin at ``trusted`` are part of the text whatever their class, id or role says.
+    """
     out: list[Block] = []
-    #: open elements: name, whether it is around the text, whether it is an article or main
-    stack: list[tuple[str, bool, bool]] = []
+    #: open elements: name, whether it is around the text, whether it is an article or main, whether only its class, id or role puts it around, place
+    stack: list[tuple[str, bool, bool, bool, int]] = []
     parts: list[str] = []
     state = {"links": 0, "linked": [], "heading": False}
 
@@ -116,7 +126,9 @@ def blocks(page: str) -> list[Block]:
         if text:
             linked = len(" ".join(htmllib.unescape(" ".join(state["linked"])).split()))
             place = "out" if any(s[1] for s in stack) else "in" if any(s[2] for s in stack) else "open"
-            out.append(Block(text, linked, state["heading"], place))
+            never = any(s[1] and not s[3] for s in stack)
+            cause = -1 if never else next((s[4] for s in stack if s[3]), -1)
+            out.append(Block(text, linked, state["heading"], place, cause, next((s[4] for s in stack if s[2]), -1)))
         parts.clear()
         state["linked"] = []
 
@@ -127,7 +139,7 @@ def blocks(page: str) -> list[Block]:
                 state["linked"].append(piece)
 
     def close(at: int) -> None:
-        for name, _, _ in stack[at:]:
+        for name, *_ in stack[at:]:
             state["links"] -= name == "a"
         del stack[at:]
 
@@ -172,8 +184,11 @@ def blocks(page: str) -> list[Block]:
             state["heading"] = len(name) == 2 and name[0] == "h" and name[1].isdigit()
         if name not in VOID and not m[4].endswith("/"):
             inside = any(s[2] for s in stack)
-            outside = name in OUTSIDE or name == "header" and not inside or bool(m[4]) and name not in ("html", "body") and around(m[4])
-            stack.append((name, outside, name in ("article", "main") or bool(m[4]) and name in BLOCK and name != "body" and within(m[4])))
+            outside = name in OUTSIDE or name == "header" and not inside or hidden(m[4])
+            named = not outside and bool(m[4]) and name not in ("html", "body") and m.start() not in trusted and around(m[4])
+            # a heading's class says what the heading is, not what holds the article
+            holds = bool(m[4]) and block and name != "body" and not state["heading"] and within(m[4])
+            stack.append((name, outside or named, name in ("article", "main") or holds, named, m.start()))
             state["links"] += name == "a"
     text(page[at:])
     flush()
@@ -238,10 +253,36 @@ def second_pass(labels: list[str]) -> list[bool]:
     return keep
 
 
+def dense(b: Block) -> bool:
+    """Whether length, link density and stop-word density by themselves make it text."""
+    return first_pass(replace(b, place="open"), False) == "good"
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks in order, joined by two newlines; empty for null, empty and text-free pages."""
-    found = blocks(page or "")
-    has_article = any(b.place == "in" for b in found)
+    trusted: frozenset[int] = frozenset()
+    while True:
+        found = blocks(page or "", trusted)
+        has_article = any(b.place == "in" and first_pass(b, True) == "good" and not b.heading for b in found)
+        if has_article or any(b.place == "open" and dense(b) for b in found):
+            break
+        # nothing is left but what is named as around the text: what holds most of the page is its text
+        sizes: dict[int, int] = {}
+        for b in found:
+            if b.cause >= 0:
+                sizes[b.cause] = sizes.get(b.cause, 0) + len(b.text)
+        largest = max(sizes, key=sizes.get, default=-1)
+        total = sum(len(b.text) for b in found if b.place != "out" or b.cause >= 0)
+        if largest < 0 or sizes[largest] * 2 <= total or not any(b.cause == largest and (b.holder >= 0 or dense(b)) for b in found):
+            break
+        trusted |= {largest}
+    inside = [b for b in found if b.place == "in"]
+    if not has_article or len({b.holder for b in inside}) > 1 and sum(len(b.text) for b in inside) < sum(
+        len(b.text) for b in found if b.place == "open" and dense(b)
+    ):
+        # headings alone, or several teasers beside a longer text, are no article
+        has_article = False
+        found = [replace(b, place="open") if b.place == "in" and (b.heading or not dense(b)) else b for b in found]
     labels = [first_pass(b, has_article) for b in found]
     if "good" not in labels:
         # a page of little text: the likely blocks are what there is
