@@ -18,22 +18,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if it is set, else one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset and Spark runs on this machine alone (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named and sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tracelight-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
+#: Checkpoints that have been written and not removed yet, by their path.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, with its rows in the shared checkpoint folder and its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.checkpoint(eager=True)
+    if path := _file_of(df):
+        _WRITTEN.append(path)
+    return df
+
+
+def _file_of(df: DataFrame) -> str | None:
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    file = plan.rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``cut`` made and that nothing to come reads."""
+    for df in tables:
+        path = _file_of(df)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            remove(df.sparkSession, path)
+
+
+def discard_since(spark: SparkSession, mark: int) -> None:
+    """Removes the files of all that ``cut`` made since it had made ``mark`` (``len`` of ``written()``) tables."""
+    for path in _WRITTEN[mark:]:
+        remove(spark, path)
+    del _WRITTEN[mark:]
+
+
+def written() -> list[str]:
+    return _WRITTEN
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -79,27 +122,28 @@ def small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)``: one row ``(node, root)`` per linked node, root the smallest node.
 
     Alternates the large-star and small-star steps, each a pre-aggregated
     ``min`` and an equi-join on the node, so a node with very many links is
-    split by AQE's skew join. Rounds are cut with ``checkpoint()``; their
+    split by AQE's skew join. Rounds are cut with ``checkpoint()``, and each
+    one's files go once the next has been written; their
     number is logarithmic in the longest chain. Self-loops, repeated links and
     nulls are ignored; no links give no rows.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     e = cut(e.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("u") != F.col("v"))).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen or state[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        seen, before = state, e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        discard(before)

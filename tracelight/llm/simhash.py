@@ -14,6 +14,7 @@ never expanded into pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm.common import components, cut, slices, small, table, unused, with_ids
+from tracelight.llm.common import components, cut, discard, slices, small, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
-#: Distinct texts, about, whose shingles are counted, and frequent shingles that are told from others, at most.
-COMMON_SAMPLE = 8_192
-MAX_COMMON = 1 << 17
-#: Shingles in common that make two documents a candidate pair.
-SHARED = 8
+#: Counters that all shingles of the corpus are counted in, by their upper bits; the counts order shingles.
+SLOT_BITS = 17
+#: Shingles in common among the first ones that make two documents a candidate pair.
+SHARED = 4
+#: Rows of one shingle that are looked at together, about; more are dealt to several tasks.
+HOT = 10_000
+#: Words whose hashes a worker remembers, at most.
+REMEMBERED = 1 << 18
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -88,56 +92,83 @@ def text_key(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
 
-def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
-    """32-bit hashes of a text's word shingles, rising, each once; fewer words make one shingle of them all."""
-    words = normal_words(text)
-    k = min(words_per_shingle, len(words))
-    found = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in found), dtype=np.uint32, count=len(found)).view(np.int32))
+class WordCodes(dict):
+    """64-bit hashes of words, remembered as they come and forgotten when they are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+CODES = WordCodes()
 
 
 def shingle_hashes(words: list[bytes], words_per_shingle: int = 5) -> np.ndarray:
     """64-bit hashes of the words' shingles, rising, each once; fewer words make one shingle of them all."""
+    if not words:
+        return np.zeros(0, np.int64)
+    codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, count=len(words))
     k = min(words_per_shingle, len(words))
-    found = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in found), dtype=np.uint64, count=len(found)).view(np.int64))
+    n = len(words) - k + 1
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out = (out ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return np.unique(out.view(np.int64))
+
+
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """``shingle_hashes`` of a text."""
+    return shingle_hashes(normal_words(text), words_per_shingle)
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of distinct texts, rising, and how many of its texts have each.
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """How many texts have the shingles of each slot, counted over all documents; the number of slots is fixed.
 
-    They only decide the order of shingles: any order finds the same links, and
-    one with frequent shingles last finds them with few candidates.
+    The counts only decide the order of shingles: any order finds the same
+    links, and one with frequent shingles last finds them with few candidates.
+    A shingle stands out if it is in more texts than the square root of its slot's others.
     """
-    parts = max(1, docs.count() // COMMON_SAMPLE)
-    texts = with_ids(docs, "text").where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
 
     def batches(it):
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in slices(it):
             for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(normal_words(t)))], names=["token"])
+                np.add.at(counts, slots(shingle_set(t)), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["slot", "n"])
 
-    counts = texts.mapInArrow(batches, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token")
-    rows = sorted(counts.limit(MAX_COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    rows = with_ids(docs, "text").mapInArrow(batches, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def head(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def head(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles, frequent ones last, of which two sets of at least that Jaccard similarity have ``SHARED`` in common, or all.
 
     Both have at least that share of their own shingles in common, so of each
     no more than the rest can stand before or between the first common ones.
     """
-    known, counts = common
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    hashes = hashes[np.argsort(counts[slots(hashes)], kind="stable")]
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + SHARED]
 
 
-def profiles(docs: DataFrame, similarity: float, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def profiles(docs: DataFrame, counts: np.ndarray, similarity: float, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id``, ``fp``, ``key`` (a hash of the words), ``n`` (five-word shingles) and ``head`` (the first of them) of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def batches(it):
         for batch in slices(it):
@@ -146,7 +177,7 @@ def profiles(docs: DataFrame, similarity: float, words_per_shingle: int = 3, see
             words = [normal_words(t) for t in texts]
             keys = np.fromiter((text_key(w) for w in words), np.uint64, count=len(words)).view(np.int64)
             hashes = [shingle_hashes(w) for w in words]
-            heads = pa.array([head(h, shipped.value, similarity) for h in hashes], pa.list_(pa.int64()))
+            heads = lists([head(h, shipped.value, similarity) for h in hashes])
             columns = [batch.column(0), pa.array(fps), pa.array(keys), pa.array([len(h) for h in hashes], pa.int32()), heads]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "n", "head"])
 
@@ -190,64 +221,125 @@ def linked_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
-    """``src``, ``dst``: links ``near`` between fingerprints, and more, that join all whose documents have at least that similarity.
+def several_roots(held: DataFrame, column: str) -> DataFrame:
+    """The rows of ``held`` whose value in ``column`` stands under more than one ``root``."""
+    ends = held.groupBy(column).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    wanted = small(ends.where("lo <> hi").select(column))
+    return held.join(wanted, column)
 
-    Of the distinct texts in ``fps`` (``profiles`` of ``docs``), two as similar as that
-    have ``SHARED`` shingles of their heads in common (all of them, if they are fewer), so an equality
-    join on shingles, and a count, misses none. In a first turn texts are compared with the
-    smallest that has a shingle of theirs, so that large groups of near copies are mostly
-    joined; in the second, all with shingles in common that aren't joined yet
-    are compared. Each pair is verified on the two texts' whole shingle sets.
+
+def fingerprint_roots(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``node``, ``root``: components of the distinct ``fps(fp)`` that differ in at most ``max_bits`` (at most 3) bits; single ones are left out.
+
+    Variants of one fingerprint only are left out by a count. Then each variant's fingerprints are compared
+    with three of them, which joins most of a large group of copies by one link each; last,
+    those of one variant that are in different components by then are compared
+    with each other, so that no link is lost and pairs within a component are never made.
     """
-    texts = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
-    every = fps.groupBy("key").agg(F.first("head").alias("head")).select("key", F.explode("head").alias("token"))
-    same = Window.partitionBy("token")
-    every = every.select("key", "token", F.min("key").over(same).alias("lo"), F.max("key").over(same).alias("hi")).where("lo <> hi")
-    heads = cut(every.drop("hi").join(texts.select("key", "fp", "n"), "key"))
-
-    def verified(shared: DataFrame) -> DataFrame:
-        """Of a row per pair ``k``, ``l`` and shingle in common, the links of similar pairs."""
-        enough = f"c >= least({SHARED}, ceil({similarity} * greatest(any_n, any_m) - 1e-9))"
-        pairs = shared.groupBy("k", "l").agg(F.count("*").alias("c"), *[F.first(x).alias(f"any_{x}") for x in ("n", "m", "src", "dst")])
-        pairs = cut(pairs.where(enough).select("k", "l", F.col("any_src").alias("src"), F.col("any_dst").alias("dst")))
-        involved = cut(pairs.select(F.col("k").alias("key")).union(pairs.select("l")).distinct())
-        ids = small(texts.join(involved, "key").select(F.col("first_id").alias("wanted_id")).distinct())
-        rows = with_ids(docs, "doc_id", "text")
-        rows = rows.join(ids, rows.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
-
-        def batches(it):
-            for batch in slices(it):
-                found = batch.column(0).to_pylist()
-                keys = np.fromiter((text_key(normal_words(t)) for t in found), np.uint64, count=len(found)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([shingle_set(t) for t in found], pa.list_(pa.int32()))], names=["key", "shingles"])
-
-        sets = rows.mapInArrow(batches, "key long, shingles array<int>").join(involved, "key", "left_semi")
-        sets = cut(sets.groupBy("key").agg(F.min("shingles").alias("shingles")))
-        one, two = sets.select(F.col("key").alias("k"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("l"), F.col("shingles").alias("y"))
-        overlap = F.size(F.array_intersect("x", "y"))
-        return pairs.join(one, "k").join(two, "l").where(overlap >= similarity * (F.size("x") + F.size("y") - overlap) - 1e-9).select("src", "dst")
-
-    fits = f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
-    row = ["a.key AS k", "b.key AS l", "a.n AS n", "b.n AS m", "a.fp AS src", "b.fp AS dst"]
-    first = heads.alias("a").join(texts.alias("b"), F.expr(f"a.lo = b.key AND a.fp <> b.fp AND {fits}")).selectExpr(*row)
-    links = cut(near.union(verified(first)))
-    roots = components(links)
-    heads = cut(heads.join(roots, heads.fp == roots.node, "left").select("token", "key", "fp", "n", F.coalesce("root", "fp").alias("root")))
-    rest = heads.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token AND a.key < b.key AND a.root <> b.root AND {fits}")).selectExpr(*row)
-    return links.union(verified(rest))
-
-
-def rooted_fingerprints(fps: DataFrame, max_bits: int = 3, docs: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
-    """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (the component's smallest fingerprint) of the distinct ones in ``fps``.
-
-    With ``docs`` (``fps`` are their ``profiles``), similar documents are linked as well.
+    if not 1 <= max_bits <= 3:
+        raise ValueError("two halves with one wildcard find at most three differing bits")
+    index = variants(fps)
+    shared = small(index.groupBy("variant").count().where("count > 1").select("variant"))
+    held = cut(index.join(shared, "variant"))
+    near = f"bit_count(fp ^ other) BETWEEN 1 AND {max_bits}"
+    centres = held.groupBy("variant").agg(
+        F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("centres")
+    )
+    stars = cut(held.join(centres, "variant").select("fp", F.explode("centres").alias("other")).where(near).distinct().select(F.col("fp").alias("src"), F.col("other").alias("dst")))
+    roots = components(stars)
+    marked = held.join(roots, held.fp == roots.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
+    rest = cut(several_roots(marked, "variant"))
+    a, b = rest.alias("a"), rest.alias("b")
+    pairs = a.join(b, F.expr(f"a.variant = b.variant AND a.fp < b.fp AND a.root <> b.root AND bit_count(a.fp ^ b.fp) <= {max_bits}"))
+    links = cut(stars.union(pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))).distinct())
+    discard(held, stars, rest, shared)
+    found = components(links)
+    discard(links)
+    return found
+
+
+def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``src``, ``dst`` of the ``pairs(k, l, src, dst)`` of keys in ``texts`` whose texts' whole shingle sets are that similar."""
+    pairs = cut(pairs)
+    involved = cut(pairs.select(F.col("k").alias("key")).union(pairs.select("l")).distinct())
+    ids = small(texts.join(involved, "key").select(F.col("first_id").alias("wanted_id")).distinct())
+    rows = with_ids(docs, "doc_id", "text")
+    rows = rows.join(ids, rows.doc_id.eqNullSafe(ids.wanted_id), "left_semi").select("text")
+
+    def batches(it):
+        for batch in slices(it):
+            found = [normal_words(t) for t in batch.column(0).to_pylist()]
+            keys = np.fromiter((text_key(w) for w in found), np.uint64, count=len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_hashes(w) for w in found])], names=["key", "shingles"])
+
+    sets = rows.mapInArrow(batches, "key long, shingles array<long>").join(involved, "key", "left_semi")
+    # an id that several rows share may bring a text twice
+    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    one, two = sets.select(F.col("key").alias("k"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("l"), F.col("shingles").alias("y"))
+    overlap = F.size(F.array_intersect("x", "y"))
+    alike = overlap >= similarity * (F.size("x") + F.size("y") - overlap) - 1e-9
+    links = cut(pairs.join(one, "k").join(two, "l").where(alike).select("src", "dst").distinct())
+    discard(pairs, involved, ids)
+    return links
+
+
+def similar_roots(docs: DataFrame, fps: DataFrame, roots: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """``node``, ``root`` of the fingerprints in ``fps`` (``profiles`` of ``docs``) where ``roots`` and all pairs of texts of that similarity are links.
+
+    Two distinct texts as similar as that have ``SHARED`` shingles of their heads in common (all of them, if they are
+    fewer), so an equality join on shingles, and a count, misses none. What two texts can have in common
+    is bounded by where in their heads the common shingles stand. In a first turn texts are compared with two
+    of those that have a shingle of theirs (the one with the fewest rare shingles before it, from which others were likely made, and the smallest), so
+    that large groups of near copies are joined by a link each; in the second, all that have shingles in common and aren't joined
+    yet are compared. Each pair is verified on the two texts' whole shingle sets.
     """
+    texts = cut(fps.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    copied = small(texts.where("copies > 1").select("key"))
+    heads = fps.select("key", "head")
+    once = heads.join(copied, "key", "left_anti").union(heads.join(copied, "key", "left_semi").groupBy("key").agg(F.first("head").alias("head")))
+    parts = np.maximum(0, counts - int(counts.mean())) // HOT + 1
+    hot = np.flatnonzero(parts > 1)
+    hot = docs.sparkSession.createDataFrame([(int(s), int(parts[s])) for s in hot], "slot long, parts long")
+    tokens = once.select("key", F.posexplode("head").alias("pos", "token")).withColumn("slot", F.shiftrightunsigned("token", 64 - SLOT_BITS))
+    tokens = tokens.join(F.broadcast(hot), "slot", "left").withColumn("part", F.expr("coalesce(pmod(key, parts), -1)"))
+    tokens = tokens.withColumn("rows", F.count("*").over(Window.partitionBy("token", "part"))).where("rows > 1 OR part >= 0")
+    rooted = texts.join(roots, texts.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    held = cut(tokens.select("key", "pos", "token").join(rooted, "key"))
+    held_now = several_roots(held, "token")
+
+    # the least overlap of two sets of such sizes; their common shingles from the k-th on stand so late that no more than the rest can be common
+    least = f"ceil({similarity / (1 + similarity)} * (n + m) - 1e-6)"
+    fits = f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9 AND least(n - pos, m - place) + {SHARED - 1} >= {least}"
+    enough = f"c >= least({SHARED}, {least}) AND c + least(n - pos, m - place) - 1 >= {least}"
+
+    def candidates(rows: DataFrame, *more: str) -> DataFrame:
+        """Of a row per pair ``k``, ``l`` and shingle in common, the pairs that may be similar."""
+        ends = [F.first(x).alias(x) for x in ("n", "m", "src", "dst")]
+        pairs = rows.where(fits).groupBy("k", "l", *more).agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("place").alias("place"), *ends)
+        return pairs.where(enough)
+
+    centre = F.struct("pos", "key", "n", "fp", "root")
+    centres = held_now.groupBy("token").agg(F.array(F.min(centre), F.min_by(centre, "key")).alias("centres"))
+    first = held_now.join(centres, "token").select("*", F.posexplode("centres").alias("kind", "o")).where("root <> o.root")
+    first = first.selectExpr("key AS k", "o.key AS l", "n", "o.n AS m", "pos", "o.pos AS place", "fp AS src", "o.fp AS dst", "kind")
+    best = candidates(first, "kind").groupBy("k", "kind").agg(F.max(F.struct("c", "l", "src", "dst")).alias("x"))
+    star = verified(docs, texts, best.select("k", "x.l", "x.src", "x.dst").distinct(), similarity)
+    known = cut(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(star))
+    joined = components(known)
+    marked = held.drop("root").join(joined, held.fp == joined.node, "left").select("token", "key", "pos", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    rest = cut(several_roots(marked, "token"))
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.token = b.token AND a.key < b.key AND a.root <> b.root"))
+    pairs = pairs.selectExpr("a.key AS k", "b.key AS l", "a.n AS n", "b.n AS m", "a.pos AS pos", "b.pos AS place", "a.fp AS src", "b.fp AS dst")
+    more = verified(docs, texts, candidates(pairs).select("k", "l", "src", "dst"), similarity)
+    found = components(known.union(more))
+    discard(texts, copied, held, star, known, rest, more)
+    return found
+
+
+def rooted_fingerprints(fps: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fp``, ``first_id`` (the smallest id that has it) and ``root`` (by ``roots_of`` the distinct ones) of the distinct fingerprints in ``fps``."""
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = linked_pairs(nodes.select("fp"), max_bits)
-    if docs is not None:
-        links = similar_links(docs, fps, links, similarity)
-    roots = components(links)
+    roots = roots_of(nodes.select("fp"))
     return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
@@ -261,7 +353,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
     no rows give no rows; extra columns are ignored.
     """
     fps = cut(fingerprints(docs, words_per_shingle, seed))
-    rooted = rooted_fingerprints(fps, max_bits)
+    rooted = rooted_fingerprints(fps, lambda nodes: fingerprint_roots(nodes, max_bits))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     member = rooted.join(smallest, "root").select(F.col("fp").alias("member_fp"), "component_id")
     return fps.join(member, fps.fp == member.member_fp).select(
@@ -274,14 +366,19 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, similarity: float | None = 0
 
     Documents are linked by their fingerprints as in ``near_duplicates``, and
     with ``similarity`` also where their five-word shingles have that Jaccard
-    similarity (``similar_links``).
+    similarity (``similar_roots``).
     Ids of rows that go are found on narrow rows and anti-joined: by a broadcast
     if they are few enough, else texts are shuffled once. Ids that several rows share, and null ids, can't tell
     rows apart; such rows only are fingerprinted again and told apart by
     id and fingerprint, and of rows with both in common one stays.
     """
-    fps = cut(fingerprints(docs) if similarity is None else profiles(docs, similarity))
-    rooted = rooted_fingerprints(fps, max_bits, None if similarity is None else docs, similarity or 1.0)
+    if similarity is None:
+        fps = cut(fingerprints(docs))
+        rooted = rooted_fingerprints(fps, lambda nodes: fingerprint_roots(nodes, max_bits))
+    else:
+        counts = shingle_counts(docs)
+        fps = cut(profiles(docs, counts, similarity))
+        rooted = rooted_fingerprints(fps, lambda nodes: similar_roots(docs, fps, fingerprint_roots(nodes, max_bits), counts, similarity))
     # null ids stand after all others
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "fp")).alias("x"))
     stays = first.select(F.col("x.id").alias("kept_id"), F.col("x.fp").alias("kept_fp"))
