@@ -45,7 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table: for wide tables of values that repeat, which a checkpoint would keep in full."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PARQUET[id(out)] = path
+    return out
+
+
+#: Paths of tables that ``stored`` made, by the identity of the DataFrame.
+_PARQUET: dict[int, str] = {}
+
+
 def _file_of(df: DataFrame) -> str | None:
+    if id(df) in _PARQUET:
+        return _PARQUET[id(df)]
     plan = df._jdf.queryExecution().logical()
     if plan.getClass().getSimpleName() != "LogicalRDD":
         return None
@@ -63,6 +79,7 @@ def discard(*tables: DataFrame) -> None:
     """Removes the files of tables that ``cut`` made and that nothing to come reads."""
     for df in tables:
         path = _file_of(df)
+        _PARQUET.pop(id(df), None)
         if path in _WRITTEN:
             _WRITTEN.remove(path)
             remove(df.sparkSession, path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelight.llm.common import components, cut, discard, slices, small, table, unused, with_ids
+from tracelight.llm.common import components, cut, discard, slices, small, stored, table, unused, with_ids
 
 LANES = np.uint64(0x0101010101010101)
 #: Counters that all shingles of the corpus are counted in, by their upper bits; the counts order shingles.
@@ -241,11 +241,11 @@ def fingerprint_roots(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     index = variants(fps)
     shared = small(index.groupBy("variant").count().where("count > 1").select("variant"))
     held = cut(index.join(shared, "variant"))
-    near = f"bit_count(fp ^ other) BETWEEN 1 AND {max_bits}"
+    near = F.expr(f"filter(centres, x -> bit_count(fp ^ x) BETWEEN 1 AND {max_bits})")
     centres = held.groupBy("variant").agg(
         F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("centres")
     )
-    stars = cut(held.join(centres, "variant").select("fp", F.explode("centres").alias("other")).where(near).distinct().select(F.col("fp").alias("src"), F.col("other").alias("dst")))
+    stars = cut(held.join(centres, "variant").select(F.col("fp").alias("src"), F.explode(near).alias("dst")).distinct())
     roots = components(stars)
     marked = held.join(roots, held.fp == roots.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
     rest = cut(several_roots(marked, "variant"))
@@ -259,7 +259,7 @@ def fingerprint_roots(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``src``, ``dst`` of the ``pairs(k, l, src, dst)`` of keys in ``texts`` whose texts' whole shingle sets are that similar."""
+    """``src``, ``dst`` of those of the ``pairs(k, l, src, dst)`` of keys in ``texts`` whose texts' whole shingle sets are that similar."""
     pairs = cut(pairs)
     involved = cut(pairs.select(F.col("k").alias("key")).union(pairs.select("l")).distinct())
     ids = small(texts.join(involved, "key").select(F.col("first_id").alias("wanted_id")).distinct())
@@ -272,14 +272,16 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: fl
             keys = np.fromiter((text_key(w) for w in found), np.uint64, count=len(found)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_hashes(w) for w in found])], names=["key", "shingles"])
 
-    sets = rows.mapInArrow(batches, "key long, shingles array<long>").join(involved, "key", "left_semi")
-    # an id that several rows share may bring a text twice
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    one, two = sets.select(F.col("key").alias("k"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("l"), F.col("shingles").alias("y"))
+    sets = rows.mapInArrow(batches, "key long, shingles array<long>")
+    # sets join the narrow pairs first, so that they are shuffled once, by the other side's key; an id that
+    # several rows share may bring a text twice, so links are made distinct
+    one = sets.select(F.col("key").alias("k"), F.col("shingles").alias("x")).join(small(pairs), "k")
+    other = small(pairs.select("l").distinct())
+    two = sets.select(F.col("key").alias("l"), F.col("shingles").alias("y")).join(other, "l")
     overlap = F.size(F.array_intersect("x", "y"))
     alike = overlap >= similarity * (F.size("x") + F.size("y") - overlap) - 1e-9
-    links = cut(pairs.join(one, "k").join(two, "l").where(alike).select("src", "dst").distinct())
-    discard(pairs, involved, ids)
+    links = cut(one.join(two, "l").where(alike).select("src", "dst").distinct())
+    discard(pairs, involved, ids, other)
     return links
 
 
@@ -303,9 +305,10 @@ def similar_roots(docs: DataFrame, fps: DataFrame, roots: DataFrame, counts: np.
     tokens = once.select("key", F.posexplode("head").alias("pos", "token")).withColumn("slot", F.shiftrightunsigned("token", 64 - SLOT_BITS))
     tokens = tokens.join(F.broadcast(hot), "slot", "left").withColumn("part", F.expr("coalesce(pmod(key, parts), -1)"))
     tokens = tokens.withColumn("rows", F.count("*").over(Window.partitionBy("token", "part"))).where("rows > 1 OR part >= 0")
-    rooted = texts.join(roots, texts.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    held = cut(tokens.select("key", "pos", "token").join(rooted, "key"))
-    held_now = several_roots(held, "token")
+    rooted = texts.join(roots, texts.fp == roots.node, "left").select("key", "n", F.coalesce("root", "fp").alias("root"))
+    held = stored(tokens.select("key", "pos", "token", "part").join(rooted, "key"))
+    # a hot shingle's parts are looked at each by itself, and stay for the second turn whatever they hold
+    same = Window.partitionBy("token", "part")
 
     # the least overlap of two sets of such sizes; their common shingles from the k-th on stand so late that no more than the rest can be common
     least = f"ceil({similarity / (1 + similarity)} * (n + m) - 1e-6)"
@@ -318,21 +321,21 @@ def similar_roots(docs: DataFrame, fps: DataFrame, roots: DataFrame, counts: np.
         pairs = rows.where(fits).groupBy("k", "l", *more).agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("place").alias("place"), *ends)
         return pairs.where(enough)
 
-    centre = F.struct("pos", "key", "n", "fp", "root")
-    centres = held_now.groupBy("token").agg(F.array(F.min(centre), F.min_by(centre, "key")).alias("centres"))
-    first = held_now.join(centres, "token").select("*", F.posexplode("centres").alias("kind", "o")).where("root <> o.root")
-    first = first.selectExpr("key AS k", "o.key AS l", "n", "o.n AS m", "pos", "o.pos AS place", "fp AS src", "o.fp AS dst", "kind")
+    centre = F.struct("pos", "key", "n", "root")
+    first = held.withColumns({"c0": F.min(centre).over(same), "c1": F.min_by(centre, "key").over(same)})
+    first = first.select("*", F.posexplode(F.expr("filter(array(c0, c1), x -> x.root <> root)")).alias("kind", "o"))
+    first = first.selectExpr("key AS k", "o.key AS l", "n", "o.n AS m", "pos", "o.pos AS place", "root AS src", "o.root AS dst", "kind")
     best = candidates(first, "kind").groupBy("k", "kind").agg(F.max(F.struct("c", "l", "src", "dst")).alias("x"))
     star = verified(docs, texts, best.select("k", "x.l", "x.src", "x.dst").distinct(), similarity)
-    known = cut(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(star))
-    joined = components(known)
-    marked = held.drop("root").join(joined, held.fp == joined.node, "left").select("token", "key", "pos", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    rest = cut(several_roots(marked, "token"))
+    joined = cut(components(star))
+    marked = held.join(joined, held.root == joined.node, "left").select("token", "part", "key", "pos", "n", F.coalesce(joined.root, held.root).alias("root"))
+    marked = marked.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)}).where("lo <> hi OR part >= 0")
+    rest = stored(marked.select("token", "key", "pos", "n", "root"))
     pairs = rest.alias("a").join(rest.alias("b"), F.expr("a.token = b.token AND a.key < b.key AND a.root <> b.root"))
-    pairs = pairs.selectExpr("a.key AS k", "b.key AS l", "a.n AS n", "b.n AS m", "a.pos AS pos", "b.pos AS place", "a.fp AS src", "b.fp AS dst")
+    pairs = pairs.selectExpr("a.key AS k", "b.key AS l", "a.n AS n", "b.n AS m", "a.pos AS pos", "b.pos AS place", "a.root AS src", "b.root AS dst")
     more = verified(docs, texts, candidates(pairs).select("k", "l", "src", "dst"), similarity)
-    found = components(known.union(more))
-    discard(texts, copied, held, star, known, rest, more)
+    found = components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(star).union(more))
+    discard(texts, copied, held, star, joined, rest, more)
     return found
 
 
@@ -377,7 +380,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 3, similarity: float | None = 0
         rooted = rooted_fingerprints(fps, lambda nodes: fingerprint_roots(nodes, max_bits))
     else:
         counts = shingle_counts(docs)
-        fps = cut(profiles(docs, counts, similarity))
+        fps = stored(profiles(docs, counts, similarity))
         rooted = rooted_fingerprints(fps, lambda nodes: similar_roots(docs, fps, fingerprint_roots(nodes, max_bits), counts, similarity))
     # null ids stand after all others
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "fp")).alias("x"))
