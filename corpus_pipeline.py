@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelight.llm import decontaminate, langid, mixing, quality, simhash
-from tracelight.llm.common import scratch, table
+from tracelight.llm.common import discard_since, remove, scratch, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage before it keeps is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what each stage before it keeps is written as Parquet to the shared folder and read again.
+
+    A stage's own checkpoints go when its output is written, and that output when the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, name)
+        path, mark = scratch(spark, name), len(written())
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        discard_since(spark, mark)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
