@@ -71,6 +71,77 @@ def test_names_do_not_outweigh_the_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>aaa</p><svg class="i"/><p>bbb stays</p><math/><p>c</p></article>', "aaa\n\nbbb stays\n\nc"),
+        ("<article><p>a</p><svg><path d='M0'/><title>t</title></svg><p>b</p></article>", "a\n\nb"),
+        (f'<div class="content has-sidebar"><p>{PROSE}</p></div>', PROSE),
+        (f'<div class="page no-header"><article><p>{PROSE}</p></article></div>', PROSE),
+        ('<article><p class="search-term">hello there</p><p>x</p></article>', "hello there\n\nx"),
+        ('<article><div class="entry-header"><h1>T</h1></div><p>x</p><div class="ad-slot-2">buy</div><div id="sidebarLeft">s</div></article>', "T\n\nx"),
+        ("<article><p>Press <button>OK</button> now</p><p><button>Share</button></p></article>", "Press OK now"),
+        (f"<div><p>{PROSE} © of this</p><p>© 2020</p></div>", f"{PROSE} © of this"),
+        ("<article><h2>A <b>bold</b> head</h2><p>x</p></article>", "A bold head\n\nx"),
+    ],
+)
+def test_no_article_text_is_lost(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "unit", ['<a "', "<a '\"", "<div>x", "<b>", "</p>", "<b><i></b>", "<!--", "<a", "<div class=sidebar>x", "<hr><b>", "<p><a href='>", "<svg", "&amp", "<", "<script>"]
+)
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(unit * 20_000)
+    html.main_text(unit * 20_000 + "'>\"")
+    assert time.perf_counter() - began < 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["good", "bad", "near", "short"]), max_size=12))
+def test_neighbours_against_brute_force(labels):
+    decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
+
+    def stays(i):
+        if labels[i] in ("good", "bad"):
+            return labels[i] == "good"
+        near = [j for j in decided if abs(j - i) == min(abs(k - i) for k in decided)]
+        found = {labels[j] for j in near}
+        return labels[i] == "near" if len(found) > 1 else found != {"bad"}
+
+    assert html.second_pass(labels) == [stays(i) for i in range(len(labels))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["word ", "the of and to in a ", "Xyz © ", "it is not by us "]), st.integers(1, 40), st.integers(0, 10)), max_size=6))
+def test_block_rules_against_brute_force(rows):
+    """Blocks of a page that says nothing about places, by the rules written out again."""
+    page = "".join(f"<p>{w * n}<a>{'link ' * k}</a></p>" for w, n, k in rows)
+
+    def label(w, n, k):
+        text = (w * n + "link " * k).strip()
+        linked = len(("link " * k).strip())
+        words = [x for x in text.lower().replace("©", " ").split()]
+        stops = sum(x in html.STOP_WORDS for x in words) / len(words)
+        if linked / len(text) > 0.2 or len(text) < 70 and ("©" in text or linked):
+            return "bad"
+        if len(text) < 70:
+            return "short"
+        if stops >= 0.12:
+            return "good" if len(text) > 200 else "near"
+        return "near" if stops >= 0.06 or len(text) > 200 else "short"
+
+    labels = [label(*r) for r in rows]
+    if "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]
+    keep = html.second_pass(labels)
+    assert html.main_text(page) == "\n\n".join((w * n + "link " * k).strip() for (w, n, k), x in zip(rows, keep) if x)
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     assert html.second_pass(["short", "good", "short", "short", "bad", "short"]) == [True, True, True, False, False, False]
     assert html.second_pass(["good", "short", "bad", "near", "good"]) == [True, False, False, True, True]

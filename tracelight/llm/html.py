@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -32,9 +34,11 @@ STOP_WORDS = frozenset(
     """.split()
 )
 #: Elements whose content is never text.
-SILENT = "script style noscript template svg math iframe object select textarea button title canvas audio video map".split()
+SILENT = "script style noscript template svg math iframe object select textarea title canvas audio video map".split()
 #: Elements that never hold an article's text.
 OUTSIDE = frozenset("nav footer aside form menu dialog datalist".split())
+#: Elements whose text is a link's; a block of little else is no text, but their words inside a sentence are.
+LINKS = frozenset("a button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3
@@ -54,13 +58,22 @@ AROUND = frozenset(
 #: Parts of class names and ids of what holds an article where no element says so.
 WITHIN = frozenset("article articlebody content entry maincontent post story".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+#: First words of a class name that say what its element hasn't, or only has besides.
+BESIDES = frozenset("has have is no non not with without hide show".split())
+#: Last words of a class name that don't change what its first one says.
+BOXES = frozenset(
+    """area bar block body bottom box center column container content desktop fixed form group inner item items left link links list main menu mobile
+    outer panel primary right row rows secondary section slot small sticky text title top unit wrap wrapper zone""".split()
 )
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][\w:-]*))")
+TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+SILENT_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+#: Elements that an end tag looks through for its start, as far as browsers nest elements.
+DEPTH = 512
+#: Tags whose quotes don't close that are looked at with their quotes; in a page with more, tags end at the next >.
+BROKEN = 64
+#: Containers named as around the text that are found, one in the other, to hold it after all.
+WRAPPERS = 64
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -95,29 +108,101 @@ def hidden(attributes: str) -> bool:
     return False
 
 
+def says_around(name: str) -> bool:
+    """Whether a class name, id or role says that its element is around the text.
+
+    What it is stands last (``site-header``) or before words for boxes and numbers
+    (``sidebar-left``, ``ad-slot-2``); ``has-sidebar`` and ``search-term`` say something else, and
+    the header of an entry or article is its own.
+    """
+    words = [w.lower() for w in PART.findall(name)]
+    if not words or words[0] in BESIDES:
+        return False
+    if words[-1] == "header" and any(w in WITHIN for w in words):
+        return False
+    while len(words) > 1 and words[-1] in BOXES and words[-1] not in AROUND:
+        words.pop()
+    return words[-1] in AROUND
+
+
 def around(attributes: str) -> bool:
     """Whether an element's class, id or role says that it isn't part of the text."""
     found = ATTRIBUTE.findall(attributes)
-    return any(p.lower() in AROUND for n, v in found if n.lower() in ("class", "id", "role") for p in PART.findall(v.strip("\"'")))
+    return any(says_around(w) for n, v in found if n.lower() in ("class", "id", "role") for w in v.strip("\"'").split())
 
 
 def within(attributes: str) -> bool:
     """Whether an element's attributes say that it holds an article."""
     found = ATTRIBUTE.findall(attributes)
-    named = [v.strip("\"'") for n, v in found if n.lower() in ("class", "id")]
+    named = [w for n, v in found if n.lower() in ("class", "id") for w in v.strip("\"'").split()]
     return any(n.lower() == "role" and v.strip("\"'").lower() == "main" for n, v in found) or any(
         p.lower() in WITHIN for v in named for p in PART.findall(v)
     )
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Where each tag, comment or element without text begins and ends, ``/`` if it is an end tag, its name (empty if it only separates) and attributes.
+
+    Each is read once: a tag whose quotes don't close ends at the next ``>``; where none follows, what is left is text.
+    """
+    at, broken, last = 0, 0, page.rfind(">")
+    while m := TAG.search(page, at):
+        start, at = m.start(), m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if start > last:
+            if not m[2]:
+                yield start, len(page), "", "", ""
+            return
+        if not m[2]:
+            at = page.find(">", at) + 1
+            yield start, at, "", "", ""
+            continue
+        whole = TAG_END.match(page, at) if broken < BROKEN else None
+        broken += whole is None
+        end = whole.end() if whole else page.find(">", at) + 1
+        name, attributes, at = m[2].lower(), page[at : end - 1], end
+        if not m[1] and name in SILENT_END:
+            if not (name in ("svg", "math") and attributes.endswith("/")):
+                closed = SILENT_END[name].search(page, at)
+                at = closed.end() if closed else len(page)
+            name = ""
+        yield start, at, m[1] or "", name, attributes
+
+
+@dataclass(slots=True)
+class Open:
+    """An element that is open, and what it and the ones around it say together."""
+
+    name: str
+    at: int
+    outside: bool
+    named: bool
+    holds: bool
+    out: bool = False
+    never: bool = False
+    cause: int = -1
+    holder: int = -1
+
+    def under(self, above: "Open | None") -> None:
+        self.out = self.outside or above is not None and above.out
+        self.never = self.outside and not self.named or above is not None and above.never
+        self.cause = above.cause if above is not None and above.cause >= 0 else self.at if self.named else -1
+        self.holder = above.holder if above is not None and above.holder >= 0 else self.at if self.holds else -1
+
+
 def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
     """The page's blocks of text in order, white space inside each turned into one space, references decoded.
 
     Elements whose tags begin at ``trusted`` are part of the text whatever their class, id or role says.
+    The time is in proportion to the page, whatever it holds: an end tag looks for its start among the innermost 512 open elements.
     """
     out: list[Block] = []
-    #: open elements: name, whether it is around the text, whether it is an article or main, whether only its class, id or role puts it around, place
-    stack: list[tuple[str, bool, bool, bool, int]] = []
+    stack: list[Open] = []
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     state = {"links": 0, "linked": [], "heading": False}
 
@@ -125,10 +210,9 @@ def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
         text = " ".join(htmllib.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(htmllib.unescape(" ".join(state["linked"])).split()))
-            place = "out" if any(s[1] for s in stack) else "in" if any(s[2] for s in stack) else "open"
-            never = any(s[1] and not s[3] for s in stack)
-            cause = -1 if never else next((s[4] for s in stack if s[3]), -1)
-            out.append(Block(text, linked, state["heading"], place, cause, next((s[4] for s in stack if s[2]), -1)))
+            top = stack[-1] if stack else Open("", -1, False, False, False)
+            place = "out" if top.out else "in" if top.holder >= 0 else "open"
+            out.append(Block(text, linked, state["heading"], place, -1 if top.never else top.cause, top.holder))
         parts.clear()
         state["linked"] = []
 
@@ -139,17 +223,17 @@ def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
                 state["linked"].append(piece)
 
     def close(at: int) -> None:
-        for name, *_ in stack[at:]:
-            state["links"] -= name == "a"
+        for x in stack[at:]:
+            open_names[x.name] -= 1
+            state["links"] -= x.name in LINKS
         del stack[at:]
 
     at, breaks = 0, 0
-    for m in TOKEN.finditer(page):
-        piece, at = page[at : m.start()], m.end()
+    for start, end, ending, name, attributes in tags(page):
+        piece, at = page[at:start], end
         text(piece)
         if piece.strip():
             breaks = 0
-        name = (m[3] or "").lower()
         if not name:
             continue
         if name == "br":
@@ -161,35 +245,47 @@ def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
         block = name in BLOCK
         if block:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if not block and any(s[0] in BLOCK for s in stack[i + 1 :]):
-                        # the end of inline markup doesn't end the blocks that began in it
-                        state["links"] -= name == "a"
-                        del stack[i]
-                    else:
-                        close(i)
-                    break
-            state["heading"] = False
+        lowest = max(0, len(stack) - DEPTH) - 1
+        if ending:
+            if open_names[name] > 0:
+                inner = False
+                for i in range(len(stack) - 1, lowest, -1):
+                    if stack[i].name == name:
+                        if inner and not block:
+                            # the end of inline markup doesn't end the blocks that began in it
+                            gone = stack.pop(i)
+                            open_names[name] -= 1
+                            state["links"] -= name in LINKS
+                            if gone.outside or gone.holds:
+                                for j in range(i, len(stack)):
+                                    stack[j].under(stack[j - 1] if j else None)
+                        else:
+                            close(i)
+                        break
+                    inner = inner or stack[i].name in BLOCK
+            if block:
+                state["heading"] = False
             continue
         if block:
             ends = IMPLIED_END.get(name, set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in ends:
+            for i in range(len(stack) - 1, lowest, -1):
+                if stack[i].name == "p" or stack[i].name in ends:
                     close(i)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].name in BLOCK:
                     break
             state["heading"] = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        if name not in VOID and not m[4].endswith("/"):
-            inside = any(s[2] for s in stack)
-            outside = name in OUTSIDE or name == "header" and not inside or hidden(m[4])
-            named = not outside and bool(m[4]) and name not in ("html", "body") and m.start() not in trusted and around(m[4])
+        if name not in VOID and not attributes.endswith("/"):
+            above = stack[-1] if stack else None
+            inside = above is not None and above.holder >= 0
+            outside = name in OUTSIDE or name == "header" and not inside or hidden(attributes)
+            named = not outside and bool(attributes) and name not in ("html", "body") and start not in trusted and around(attributes)
             # a heading's class says what the heading is, not what holds the article
-            holds = bool(m[4]) and block and name != "body" and not state["heading"] and within(m[4])
-            stack.append((name, outside or named, name in ("article", "main") or holds, named, m.start()))
-            state["links"] += name == "a"
+            holds = bool(attributes) and block and name != "body" and not state["heading"] and within(attributes)
+            stack.append(Open(name, start, outside or named, named, name in ("article", "main") or holds))
+            stack[-1].under(above)
+            open_names[name] += 1
+            state["links"] += name in LINKS
     text(page[at:])
     flush()
     return out
@@ -202,7 +298,7 @@ def first_pass(b: Block, page_has_article: bool) -> str:
         return "bad"
     if b.place == "in":
         return "good" if density <= ARTICLE_LINK_DENSITY else "head" if b.heading else "bad"
-    if page_has_article or density > MAX_LINK_DENSITY or "©" in b.text:
+    if page_has_article or density > MAX_LINK_DENSITY or length < LENGTH_LOW and "©" in b.text:
         return "bad"
     if b.heading and length < LENGTH_HIGH:
         return "head"
@@ -261,7 +357,7 @@ def dense(b: Block) -> bool:
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks in order, joined by two newlines; empty for null, empty and text-free pages."""
     trusted: frozenset[int] = frozenset()
-    while True:
+    for turn in range(WRAPPERS):
         found = blocks(page or "", trusted)
         has_article = any(b.place == "in" and first_pass(b, True) == "good" and not b.heading for b in found)
         if has_article or any(b.place == "open" and dense(b) for b in found):
@@ -295,7 +391,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``.
 
     A null page counts as empty and gives an empty text; markup that is cut
-    off or not closed is read as far as it goes; rows that repeat are each
+    off or not closed is read as far as it goes, in time in proportion to the page; rows that repeat are each
     extracted; no rows give no rows; extra columns are ignored. The pages are
     read once and never shuffled.
     """
