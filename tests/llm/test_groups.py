@@ -193,6 +193,19 @@ def test_near_duplicate_embeddings(spark, block, pivots):
     assert embeddings.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_equal_vectors_are_looked_at_once(spark):
+    v = F.array(*[F.lit(float(i)) for i in range(1, 9)])
+    scaled = spark.range(20_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 2 == 0, v).otherwise(F.transform(v, lambda x: x * 4)).alias("embedding"), F.lit(1).alias("label"))
+    other = spark.createDataFrame([(30_000, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 9.0], 1), (30_001, [-1.0] * 8, 1)], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_duplicates(scaled.union(other), block=64)
+    states = found.groupBy("n_links", "component_id").count().collect()
+    assert sorted(tuple(x) for x in states) == [(0, 30_001, 1), (20_000, 0, 20_001)]
+    rows = embeddings.units(scaled.union(other).withColumnRenamed("vec_id", "row"))
+    distinct = rows.groupBy("label", "length", "u").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    # what is shuffled by pairs of blocks is in proportion to the distinct vectors
+    assert distinct.count() <= 4
+
+
 def test_floats_are_compared_in_double_precision(spark):
     vectors = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(5)], "vec_id long, embedding array<float>, label int")
     assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(vectors).collect()} == {0: 0, 1: 1, 2: 3, 3: 2, 4: 2}

@@ -113,10 +113,14 @@ class CoverTree:
 
 
 class Links:
-    """Link counts and components of points that are found to be linked, without a list of the links."""
+    """Link counts and components of points that are found to be linked, without a list of the links.
 
-    def __init__(self, n: int):
+    A point stands for ``weight`` vectors; those of the other point count.
+    """
+
+    def __init__(self, n: int, weight: np.ndarray | None = None):
         self.count = np.zeros(n, np.int64)
+        self.weight = np.ones(n, np.int64) if weight is None else weight
         self.root = np.arange(n)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -158,10 +162,10 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float, links: Links, offset:
     def all_pairs(p: Node, q: Node) -> None:
         own, other = a.members(p), b.members(q) + offset
         if p is q:
-            links.count[own] += len(own) - 1
+            links.count[own] += links.weight[own].sum() - links.weight[own]
         else:
-            links.count[own] += len(other)
-            links.count[other] += len(own)
+            links.count[own] += links.weight[other].sum()
+            links.count[other] += links.weight[own].sum()
             connect(b, q, offset)
             links.join(own[:1], other[:1])
         connect(a, p, 0)
@@ -174,8 +178,8 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float, links: Links, offset:
         i, j = np.nonzero(linked)
         if len(i):
             i, j = own[i], other[j] + offset
-            np.add.at(links.count, i, 1)
-            np.add.at(links.count, j, 1)
+            np.add.at(links.count, i, links.weight[j])
+            np.add.at(links.count, j, links.weight[i])
             links.join(i, j)
 
     work = [(a.root, b.root)]
@@ -209,8 +213,8 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float, links: Links, offset:
                 i, j = cp[rows][i], cq[j] + offset
                 keep = i != j if same else slice(None)
                 i, j = i[keep], j[keep]
-                np.add.at(links.count, i, 1)
-                np.add.at(links.count, j, 1)
+                np.add.at(links.count, i, links.weight[j])
+                np.add.at(links.count, j, links.weight[i])
                 links.join(i, j)
             for i, j in np.argwhere(maybe & ~single).tolist():
                 u, v = ps[at + i], qs[j]
@@ -220,9 +224,9 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float, links: Links, offset:
                     work.append((u, v))
 
 
-def link(x: np.ndarray, y: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def link(x: np.ndarray, y: np.ndarray | None, threshold: float = THRESHOLD, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of ``x`` and then of ``y``, the links between the two (or within ``x``): how many, and the first row of the component."""
-    links = Links(len(x) + (0 if y is None else len(y)))
+    links = Links(len(x) + (0 if y is None else len(y)), weight)
     a = CoverTree(x)
     if y is None:
         traverse(a, a, threshold, links, 0)
@@ -339,10 +343,13 @@ def plan_cells(points: DataFrame, block: int, max_pivots: int, seed: int) -> dic
 
 
 def near_links(points: DataFrame, threshold: float, block: int, max_pivots: int, seed: int = 29) -> DataFrame:
-    """``row``, ``n``, ``other``: of each pair of blocks, the links that a vector has there and a vector of its component."""
+    """``row``, ``n``, ``other``: of each pair of blocks, the links that a vector has there and a vector of its component.
+
+    ``points`` are distinct vectors; each counts as often as its ``copies`` say.
+    """
     plan = points.sparkSession.sparkContext.broadcast(plan_cells(points, block, max_pivots, seed))
     reach = float(gap(np.array(threshold)))
-    kinds = "label long, length int, low int, high int, row long, block int, u binary"
+    kinds = "label long, length int, low int, high int, row long, block int, u binary, copies long"
 
     def deal(it):
         for batch in it:
@@ -373,7 +380,7 @@ def near_links(points: DataFrame, threshold: float, block: int, max_pivots: int,
                 continue
             places = pa.array(np.concatenate(place))
             new = {k: pa.array(np.concatenate(v).astype(np.int32)) for k, v in (("low", low), ("high", high), ("block", own_block))}
-            old = {k: batch.column(k).take(places) for k in ("label", "length", "row", "u")}
+            old = {k: batch.column(k).take(places) for k in ("label", "length", "row", "u", "copies")}
             names = [k.split()[0] for k in kinds.split(", ")]
             made = pa.RecordBatch.from_arrays([(new | old)[k] for k in names], names=names)
             for at in range(0, made.num_rows, 4096):
@@ -381,15 +388,16 @@ def near_links(points: DataFrame, threshold: float, block: int, max_pivots: int,
 
     def match(t: pa.Table) -> pa.Table:
         length, low, high = (t.column(k)[0].as_py() for k in ("length", "low", "high"))
-        row, block_of = t.column("row").to_numpy(), t.column("block").to_numpy()
+        row, block_of, copies = (t.column(k).to_numpy() for k in ("row", "block", "copies"))
         x = matrix(t.column("u").combine_chunks(), length)
         left = block_of == low
         if low == high:
-            rows, (n, root) = row, link(x, None, threshold)
+            rows, (n, root) = row, link(x, None, threshold, copies)
         elif left.all() or not left.any():
             rows, n, root = row[:0], np.empty(0, np.int64), np.empty(0, np.int64)
         else:
-            rows, (n, root) = np.concatenate([row[left], row[~left]]), link(x[left], x[~left], threshold)
+            both = np.concatenate([np.flatnonzero(left), np.flatnonzero(~left)])
+            rows, (n, root) = row[both], link(x[left], x[~left], threshold, copies[both])
         some = n > 0
         return pa.table({"row": rows[some], "n": n[some], "other": rows[root[some]]})
 
@@ -404,7 +412,8 @@ def near_duplicates(
     Vectors are compared where labels are equal and not null and lengths are
     equal, by cosine in double precision; vectors that are null, empty, zero or hold
     null or non-finite components link with nothing. Rows that repeat,
-    their ids as well, are vectors of their own and link with each other.
+    their ids as well, are vectors of their own and link with each other;
+    equal vectors are looked at once, however many they are.
     ``component_id`` is the smallest ``vec_id`` that links reach; null ids
     count only where there is no other. No rows give no rows; extra columns
     are ignored.
@@ -412,12 +421,19 @@ def near_duplicates(
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     rows = cut(vectors.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in ("vec_id", "embedding", "label")]))
-    points = cut(units(rows))
-    found = cut(near_links(points, threshold, block, max_pivots))
+    every = cut(units(rows).withColumns({"h1": F.xxhash64("u"), "h2": F.xxhash64(F.lit(1), "u")}))
+    # vectors that are equal after scaling are one point: their links with each other are counted, not looked for
+    same = ["label", "length", "h1", "h2"]
+    points = cut(every.groupBy(*same).agg(F.min("row").alias("row"), F.first("u").alias("u"), F.count("*").alias("copies")))
+    found = cut(near_links(points.drop("h1", "h2"), threshold, block, max_pivots))
     roots = components(found.select(F.col("row").alias("src"), F.col("other").alias("dst")))
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    ids = rows.select("row", "vec_id")
-    linked = ids.join(roots.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left")
+    joined = points.select(*same, "row", "copies").join(roots.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left")
+    joined = joined.select(
+        *same, F.coalesce("root", "row").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    members = every.select("row", *same).join(joined, same).select("row", "root", "n_links")
+    linked = rows.select("row", "vec_id").join(members, "row", "left")
     linked = linked.select("vec_id", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     return linked.join(least, "root").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
