@@ -364,6 +364,33 @@ def made_items(r, n):
     return texts
 
 
+def plain_leak(item, doc, index):
+    """What leaks of an item's text into a document, by the rule written out again."""
+    there = decontaminate.words(doc)
+    runs = lambda ws, n=5: [tuple(ws[i : i + min(n, len(ws))]) for i in range(len(ws) - min(n, len(ws)) + 1)] if ws else []
+    own = decontaminate.words(item)
+    seen = set(runs(there))
+    if len(own) < 5:
+        return "question and answer" if tuple(own) in set(runs(there, len(own))) else None
+    wanted = set(runs(own))
+    at = [i for i, w in enumerate(runs(there)) if w in wanted]
+    if not at:
+        return None
+    near = there[max(0, at[0] - len(own)) : at[-1] + 5 + len(own)]
+
+    def share(part):
+        wanted = runs(part)
+        if not wanted:
+            return 1.0
+        n = len(wanted[0])
+        return sum(w in (seen if n == 5 else set(runs(near, n))) for w in wanted) / len(wanted)
+
+    q, a = (decontaminate.words(x) for x in decontaminate.question_and_answer(item))
+    if share(own) >= 0.8 - 1e-9 and share(q) >= 0.5 and share(a) >= 0.5:
+        return "question and answer"
+    return "question" if len(q) >= 8 and share(q) >= 0.8 - 1e-9 else None
+
+
 def test_leaks_are_those_of_brute_force():
     r = np.random.default_rng(4)
     items = list(enumerate(made_items(r, 60)))
@@ -380,16 +407,15 @@ def test_leaks_are_those_of_brute_force():
             docs.append(f"{noise()} {' '.join(item).upper()}, {noise()}")
         else:
             docs.append(noise())
-    shingled = [(i, decontaminate.shingles(decontaminate.words(t))) for i, t in items if t and len(decontaminate.words(t)) >= 5]
-    hits = 0
+    hits = {}
     for d in docs:
-        there = set(decontaminate.shingles(decontaminate.words(d)))
-        expected = [i for i, s in shingled if sum(x in there for x in s) >= 0.8 * len(s) - 1e-9]
+        expected = [(str(i), k) for i, t in items if t and (k := plain_leak(t, d, index))]
         found = index.leaks(d)
-        assert sorted(map(str, (x[0] for x in found))) == sorted(map(str, expected))
-        assert all(x[1] >= 1 and x[2] >= 0.8 - 1e-9 for x in found)
-        hits += len(found)
-    assert hits > 40
+        assert sorted((str(x[0]), x[5]) for x in found) == sorted(expected)
+        assert all(x[1] >= 1 for x in found)
+        for x in found:
+            hits[x[5]] = hits.get(x[5], 0) + 1
+    assert hits["question and answer"] > 30 and hits["question"] > 3
     assert index.leaks(None) == index.leaks("") == index.leaks("!!") == [] and decontaminate.Index([]).leaks("a b c d e f") == []
 
 
@@ -403,14 +429,32 @@ def test_leaks_with_inserted_runs_are_found():
         for n in (1, 40, 3000):
             cut = int(r.integers(0, len(item) + 1))
             doc = " ".join([*item[:cut], *(f"n{j}" for j in range(n)), *item[cut:]])
-            there = set(decontaminate.shingles(decontaminate.words(doc)))
-            wanted = decontaminate.shingles(item)
-            expected = sum(s in there for s in wanted) >= 0.8 * len(wanted) - 1e-9
-            assert (i in {x[0] for x in index.leaks(doc)}) == expected
-            hits += expected
+            expected = plain_leak(text, doc, index)
+            assert {x[0]: x[5] for x in index.leaks(doc)}.get(i) == expected
+            hits += expected is not None
     assert hits > 60
 
 
+def test_questions_answers_short_items_and_repeated_words():
+    question = "Question: which of the cities in the north of the country is its capital? Answer: "
+    filler = " ".join(f"u{i}" for i in range(50))
+    items = [(1, question + "Paris"), (2, "a " * 20 + "b c d"), (3, "only three words"), (4, "你好世界今天天气很好"), (5, "one two three four five six seven eight. Answer: " + " ".join(f"v{i}" for i in range(30)))]
+    items += list(enumerate(made_items(np.random.default_rng(1), 54), 100))
+    index = decontaminate.Index(items)
+    found = lambda doc: {x[0]: x[5] for x in index.leaks(f"{filler} {doc} {filler}")}
+    assert found(question + "Paris") == {1: "question and answer"}
+    assert found(question + "London") == {1: "question"}
+    assert found(question.replace("Answer:", "")) == {1: "question"}
+    assert found("Paris") == found("Answer: Paris") == {}
+    assert found("one two three four five six seven eight answer nothing") == {5: "question"}
+    assert found(" ".join(f"v{i}" for i in range(30))) == {}
+    assert found("Only, three WORDS") == {3: "question and answer"} and found("only three") == {}
+    assert found("他说你好世界今天天气很好啊") == {4: "question and answer"} and found("今天") == {}
+    for doc in (question, "a " * 20, "a " * 7, "a a a a b c d", question + "Rome", "v1 v2 v3 v4 v5 v6"):
+        expected = {i: k for i, t in items if (k := plain_leak(t, f"{filler} {doc} {filler}", index))}
+        assert found(doc) == expected
+
+
 def test_wand_finds_what_scoring_everything_finds():
     r = np.random.default_rng(9)
     index = decontaminate.Index(list(enumerate(made_items(r, 80))))

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": embeddings.OP2_SQL,
     "op5_url_filters": urls.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
