@@ -20,9 +20,9 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, *columns: str) -> Column:
+def uniform(seed: int, *columns: str | Column) -> Column:
     """A number in [0, 1) that is fixed by the row's columns and the seed: 52 bits of an MD5 digest."""
-    key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
@@ -63,16 +63,16 @@ def mix(
     """One row per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     A source's rate is target / source_size; a document is emitted
-    floor(rate) times, and once more if a number drawn from its id and the
+    floor(rate) times, and once more if a number drawn from its id, its text's digest and the
     seed is below the rate's fraction, so reruns agree and no document passes
     ``max_repeat`` copies. Null and empty texts have size 0 and take nothing; a
     source without words has target 0; null is a source of its own; rows that
-    repeat are drawn alike; no rows give no rows; extra columns are ignored.
+    repeat with the same id and text are drawn alike, rows that share an id or have none by their texts; no rows give no rows; extra columns are ignored.
     """
-    sizes = with_ids(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size"))
+    sizes = with_ids(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
     rates = source_targets(sizes, weights, max_repeat).withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(uniform(seed, "doc_id") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(uniform(seed, "doc_id", F.col("digest")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return (
         sizes.join(rates, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
@@ -96,7 +96,7 @@ def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float
     joined = docs.join(side, docs.source.eqNullSafe(rates[own[0]]["source"]))
     size, target = rates[own[0]]["source_size"], rates[own[0]]["target"]
     rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(uniform(seed, "doc_id") < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(uniform(seed, "doc_id", F.md5(docs.text.cast("binary"))) < rate - F.floor(rate), 1).otherwise(0)
     new = {"mix_size": words(), "mix_target": target}
     out = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(*own[1:]))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*new, "mix_copy")]
@@ -108,7 +108,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH s AS (SELECT doc_id, source, coalesce(md5(text), '') AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3.0::DOUBLE * source_size AS cap FROM t),
 l AS (SELECT a.cap / a.weight AS room,
@@ -121,7 +121,7 @@ lev AS (SELECT ((SELECT sum(source_size) FROM t) - capped) / open_weight AS leve
 g AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM lev)) AS target FROM w),
 r AS (SELECT s.doc_id, s.size, g.source_size, g.target,
         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
-        ('0x' || md5('17:' || coalesce(s.doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE / 4503599627370496.0 AS u
+        ('0x' || md5('17:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.digest)[1:13])::BIGINT::DOUBLE / 4503599627370496.0 AS u
       FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
