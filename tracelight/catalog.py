@@ -11,7 +11,7 @@ from tracelight.operators.logs.run import parse_logs
 from tracelight.operators.rules import run_rule
 from tracelight.operators.search import search
 from tracelight.sources.events import load_reference_list
-from tracelight.sources.testdata import SCHEMA, log_lines, table_events, variant_events
+from tracelight.sources.testdata import SCHEMA, log_lines, parts_of, table_events, variant_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -289,7 +289,7 @@ def logs(name: str, kind: str, program: str, fields: dict[str, str], sql: str) -
     """Registers a parser program over log lines; ``fields`` says how the events' text becomes columns."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = parse_logs(program, log_lines(spark, sf_dir, kind), SCHEMA, "2024-01-01T00:00:00Z")
+        found = parse_logs(program, log_lines(spark, sf_dir, kind), SCHEMA, "2024-01-01T00:00:00Z", partitions=parts_of(spark, sf_dir))
         return found.select(*[F.expr(x).alias(n) for n, x in fields.items()])
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -387,7 +387,7 @@ logs(
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_logs(SYSLOG, log_lines(spark, sf_dir, "syslog"), SCHEMA, "2024-01-01T00:00:00Z")
+    return parse_logs(SYSLOG, log_lines(spark, sf_dir, "syslog"), SCHEMA, "2024-01-01T00:00:00Z", partitions=parts_of(spark, sf_dir))
 
 
 QUERIES["loop_parse_then_search"] = lambda spark, sf_dir: ids(

@@ -17,6 +17,10 @@ from tracelight.plans.program import Program, parse_program
 from tracelight.sources.events import event_relation
 
 
+#: Messages whose events a worker holds at a time.
+MESSAGES = 1024
+
+
 def runner(program: Program | str, schema: Schema | bool | None, created: str | None) -> Runner:
     read = parse_program(program) if isinstance(program, str) else program
     used = Schema.builtin() if schema is None or schema is True else None if schema is False else schema
@@ -35,6 +39,7 @@ def parse_logs(
     schema: Schema | bool | None = None,
     created: str | None = None,
     failures: str = "raise",
+    partitions: int | None = None,
 ) -> DataFrame:
     """An event relation of what a program makes of ``logs``, whose column ``message`` holds the messages.
 
@@ -43,7 +48,8 @@ def parse_logs(
     and run in Arrow batches on the executors; ``created`` is fixed here, too, so
     that a task that is run again makes the same events. A message that fails ends
     the query with ``failures="raise"``, gives nothing with ``"skip"``, and with ``"keep"`` gives a
-    row whose column ``error`` says why (the column is null on events).
+    row whose column ``error`` says why (the column is null on events). Messages stay where
+    they are read, unless ``partitions`` says how many parts they are dealt to first (few files keep most cores idle).
     """
     if failures not in ("raise", "skip", "keep"):
         raise ValueError("failures is raise, skip or keep")
@@ -55,9 +61,10 @@ def parse_logs(
     def batches(it):
         if not ready:
             ready.append(runner(read, schema, made_at))
-        for batch in it:
+        # messages become events a few at a time, so that a worker holds few of either
+        for part in (batch.slice(at, MESSAGES) for batch in it for at in range(0, batch.num_rows, MESSAGES)):
             events, errors = [], []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 given = {k: v for k, v in row.items() if v is not None}
                 given.setdefault("message", "")
                 try:
@@ -72,11 +79,8 @@ def parse_logs(
                         errors.append(str(e))
             yield pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(errors, pa.string())], names=["event", "error"])
 
-    if not logs.isStreaming:
-        # few files would keep most cores idle; large inputs have more partitions than cores and stay where they are
-        cores = logs.sparkSession.sparkContext.defaultParallelism
-        if logs.rdd.getNumPartitions() < cores:
-            logs = logs.repartition(cores)
+    if partitions is not None:
+        logs = logs.repartition(partitions)
     found = logs.mapInArrow(batches, "event string, error string")
     if failures != "keep":
         return event_relation(found)

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
@@ -58,14 +59,54 @@ def compile_query(
     orders = [ordering(named(o.value, context)[0], o) for o in query.order]
     if query.dedup:
         keys = [named(d, context)[0] for d in query.dedup]
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders, view.name, *([] if view.unique else [view.event])))
-        rows = rows.withColumn(PLACE, place).where(F.col(PLACE) == 1)
+        rows = first_of_each(query, rows, view, keys, context)
     if orders:
         rows = rows.orderBy(*orders)
     rows = rows.select(view.name.alias("name"), view.event.alias("event"))
     return rows if query.limit is None else rows.limit(query.limit)
 
 
+def rank(column: Column, kind: T.DataType, descending: bool) -> Column | None:
+    """A value whose rising order is the column's rising or falling one, nulls last; none for what can't be turned round."""
+    if descending:
+        match kind:
+            case T.TimestampType():
+                turned = F.bitwise_not(F.unix_micros(column))
+            case T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType():
+                turned = F.bitwise_not(column)
+            case T.DateType():
+                turned = F.bitwise_not(F.unix_date(column))
+            case T.BooleanType():
+                turned = ~column
+            case T.FloatType() | T.DoubleType():
+                # not a number is above all others
+                turned = F.struct(~F.isnan(column), -column)
+            case _:
+                return None
+        return F.struct(column.isNull(), turned)
+    return F.struct(column.isNull(), column)
+
+
+def first_of_each(query: Query, rows: DataFrame, view: View, keys: list[Column], context: Context) -> DataFrame:
+    """One event per combination of the keys, the first in the query's order, then by name (and text, where names repeat).
+
+    A minimum, which is found before rows are shuffled, so that a frequent combination is no task of its own;
+    only texts in falling order take a window.
+    """
+    values = [named(o.value, context)[0] for o in query.order]
+    ties = [view.name] if view.unique else [view.name, view.event]
+    kinds = [f.dataType for f in rows.select(*values).schema] if values else []
+    ranks = [rank(v, k, o.descending) for v, k, o in zip(values, kinds, query.order)]
+    if any(r is None for r in ranks):
+        orders = [ordering(v, o) for v, o in zip(values, query.order)]
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders, *ties))
+        return rows.withColumn(PLACE, place).where(F.col(PLACE) == 1)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = F.struct(*[x.alias(f"by_{i}") for i, x in enumerate([*ranks, *ties])])
+    found = rows.groupBy(*[k.alias(f"key_{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, first).alias(PLACE))
+    return found.select(F.col(f"`{PLACE}`.*"))
+
+
 def grouped(query: Query, rows: DataFrame, context: Context) -> DataFrame:
     keys: dict[str, Column] = {}
     for item in query.match:

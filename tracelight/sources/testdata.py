@@ -54,6 +54,19 @@ def variant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_relation(rows.select(F.to_json("doc", {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("event")))
 
 
+#: Bytes of a table whose lines are dealt to all cores; larger ones are read in parts as they are.
+SMALL = 64 << 20
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many parts the lines of the test tables are dealt to: one a core where the tables are small files, else none."""
+    size = 0
+    for name in ("orders", "events", "customer"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        size += where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return spark.sparkContext.defaultParallelism if size <= SMALL else None
+
+
 def log_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """``message``: a line per row of a test table. Kinds: csv and kv (orders), json (events), syslog (events) and base64 (customers)."""
     if kind in ("csv", "kv"):
