@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.errors import CompileError, ExecutionError, SyntaxProblem
 from tracelight.operators.logs.run import parse_logs
 from tracelight.operators.rules import run_rule
 from tracelight.operators.search import search
-from tracelight.sources.events import load_reference_list
+from tracelight.sources.events import load_events, load_reference_list
+from tracelight.sources.responses import event_response, result_response
 from tracelight.sources.testdata import SCHEMA, log_lines, parts_of, table_events, variant_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +36,8 @@ def filters(name: str, text: str, where: str, variant: bool = True, parameters:
     """Registers a search for events over typed columns and, as ``<name>_variant``, over documents."""
 
     def run(spark: SparkSession, sf_dir: str, relation) -> DataFrame:
-        for x in lists:
-            load_reference_list(spark, *x)
+        for *place, values in lists:
+            load_reference_list(spark, *place, values(spark) if callable(values) else values)
         return ids(search(text, spark, SCHEMA, parameters, relation(spark, sf_dir)))
 
     sql = f"SELECT event_id FROM {E} e WHERE {where}"
@@ -52,6 +55,7 @@ filters("filter_double", "extensions.value > 99.5", "value > 99.5")
 filters("filter_regex", "metadata.log_type = /^(cl|si)/", "regexp_matches(event_type, '^(cl|si)')")
 filters("filter_regex_not", "metadata.log_type != /i/", "NOT regexp_matches(event_type, 'i')")
 filters("filter_regex_nocase", "principal.hostname = /^HOST-1$/ nocase", "host = 'Host-1'")
+filters("filter_regex_left", "/^Host-1\\d$/ = $e.principal.hostname", "regexp_matches(host, '^Host-1[0-9]$')")
 filters("filter_nocase", 'principal.hostname = "hOST-7" nocase', "lower(host) = 'host-7'")
 filters(
     "filter_bool_ops",
@@ -83,6 +87,18 @@ filters(
 )
 
 
+filters(
+    "in_list_large",
+    "principal.ip in %large.ip and (principal.user.userid in %large.user or not target.port in %large.port)",
+    "user_id % 2 = 0 AND (user_id % 3 = 0 OR coalesce(port NOT BETWEEN 4 AND 300003, TRUE))",
+    lists=(
+        ("large", "ip", lambda spark: spark.range(300_000).selectExpr("concat('10.1.0.', 2 * id)")),
+        ("large", "user", lambda spark: spark.range(0, 900_000, 3)),
+        ("large", "port", lambda spark: spark.range(4, 300_004)),
+    ),
+)
+
+
 def stats(name: str, text: str, sql: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df, relation=table_events) -> None:
     QUERIES[name] = lambda spark, sf_dir: shape(search(text, spark, SCHEMA, None, relation(spark, sf_dir)))
     ORACLES[name] = sql
@@ -114,8 +130,8 @@ stats(
 )
 stats(
     "agg_array",
-    'principal.user.userid = "3"\nmatch: principal.user.userid\noutcome: $ports = array(target.port)',
-    f"SELECT '3' AS principal_user_userid, array_to_string(list_sort(list(coalesce(port, -1))), ',') AS ports FROM {E} e WHERE user_id = 3",
+    "match: principal.user.userid\noutcome: $ports = array(target.port)",
+    f"SELECT user_id::VARCHAR AS principal_user_userid, array_to_string(list_sort(list(coalesce(port, -1))), ',') AS ports FROM {E} e GROUP BY 1",
     lambda df: df.withColumn("ports", F.array_join(F.array_sort(F.transform("ports", lambda x: F.coalesce(x, F.lit(-1)))), ",")),
 )
 stats(
@@ -153,16 +169,16 @@ stats(
 )
 stats(
     "order_nulls",
-    "order: target.port desc, metadata.id\nlimit: 9500",
-    f"SELECT event_id FROM {E} e ORDER BY port DESC NULLS LAST, event_id::VARCHAR LIMIT 9500",
+    "order: target.port desc, metadata.id",
+    f"SELECT event_id FROM {E} e ORDER BY port DESC NULLS LAST, event_id::VARCHAR",
     ids,
 )
 
 
 def rule(name: str, text: str, sql: str, relation=table_events, lists=()) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for x in lists:
-            load_reference_list(spark, *x)
+        for *place, values in lists:
+            load_reference_list(spark, *place, values(spark) if callable(values) else values)
         return run_rule(text, spark, SCHEMA, None, relation(spark, sf_dir))
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -401,3 +417,128 @@ QUERIES["loop_parse_then_rule"] = lambda spark, sf_dir: run_rule(
 )
 ORACLES["loop_parse_then_rule"] = """SELECT '10.1.0.' || user_id AS ip, count(*) AS n, max(date_trunc('second', ts)) AS last
   FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT event_id) > 15"""
+
+
+logs(
+    "parse_overwrite",
+    "json",
+    f"""filter {{ json {{ }} grok {{ match => {{ "kind" => "(?P<kind>..)(?P<rest>.*)" }} overwrite => ["kind"] }} {GENERIC}
+  mutate {{ replace => {{ "flag" => "No" "{U}.metadata.id" => "%{{id}}" }} }}
+  if [value] > 50 {{ mutate {{ replace => {{ "flag" => "yes" }} }} }}
+  mutate {{ convert => {{ "flag" => "boolean" }} }} mutate {{ convert => {{ "flag" => "string" }} }}
+  mutate {{ rename => {{ "kind" => "{U}.extensions.kind" "flag" => "{U}.metadata.description" }} }} {OUT} }}""",
+    {"id": at("metadata.id"), "kind": at("extensions.kind"), "flag": at("metadata.description")},
+    "SELECT event_id::VARCHAR AS id, event_type[1:2] AS kind, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS flag FROM events",
+)
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are loaded as a table by name, and asked by that name."""
+    load_events(spark, variant_events(spark, sf_dir), "catalog_events")
+    return ids(search('metadata.log_type = "view" and target.port < 20', spark, SCHEMA, None, "catalog_events"))
+
+
+QUERIES["load_then_search"] = loaded
+ORACLES["load_then_search"] = f"SELECT event_id FROM {E} e WHERE event_type = 'view' AND port < 20"
+
+#: Forms that events are loaded from: bare and wrapped, in a list, under a key and as text.
+FORMS = (
+    [{"metadata": {"id": "a"}}, {"name": "named", "udm": {"metadata": {"id": "b"}}}],
+    {"events": [{"udm": {"metadata": {"id": "c"}}}]},
+    '{"events": [{"name": "text", "udm": {"metadata": {"id": "d"}}}]}',
+)
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for form in FORMS:
+        load_events(spark, form, "catalog_forms")
+        for r in search("metadata.id != \"\"", spark, SCHEMA, None, "catalog_forms").collect():
+            found.append((json.loads(r["event"])["metadata"]["id"], "generated" if r["name"].startswith("event-") else r["name"]))
+    return spark.createDataFrame(found, "id string, name string")
+
+
+QUERIES["load_forms"] = forms
+ORACLES["load_forms"] = "SELECT * FROM (VALUES ('a', 'generated'), ('b', 'named'), ('c', 'generated'), ('d', 'text')) x(id, name)"
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain data that an API gives for a top list and for events: names in camel case."""
+    events = table_events(spark, sf_dir)
+    top = result_response(search(TOPK, spark, SCHEMA, None, events))["results"]
+    one = event_response(search('metadata.id = "17"', spark, SCHEMA, None, events))["events"]
+    rows = [(k, str(v)) for r in top for k, v in r.items()]
+    rows += [(f"{k}.{n}", str(v[n])) for e in one for k, v in e["udm"].items() if k == "metadata" for n in ("id", "logType")]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+QUERIES["responses"] = answered
+ORACLES["responses"] = f"""WITH t AS ({TOPK_SQL})
+  SELECT 'principalUserUserid' AS key, principal_user_userid AS value FROM t UNION ALL SELECT 'n', n::VARCHAR FROM t
+  UNION ALL SELECT 'metadata.id', event_id::VARCHAR FROM events WHERE event_id = 17 UNION ALL SELECT 'metadata.logType', event_type FROM events WHERE event_id = 17"""
+
+#: What each dialect refuses before anything runs, by what is wrong with it; the last of each is right.
+REFUSED: dict[str, tuple[str, str]] = {
+    "search: unknown field": ("search", 'principal.hostnam = "x"'),
+    "search: path beyond a value": ("search", 'principal.hostname.more = "x"'),
+    "search: no member of the enum": ("search", 'metadata.event_type = "NETWORK"'),
+    "search: undefined placeholder": ("search", '$x = "y"'),
+    "search: function in a condition": ("search", "timestamp.now(target.port) = 3"),
+    "search: list against a literal": ("search", '"x" in %bad.ip'),
+    "search: pattern against a number": ("search", "/a/ = 3"),
+    "search: unknown aggregate": ("search", "outcome: $x = median(target.port)"),
+    "search: two arguments": ("search", "outcome: $x = count(target.port, target.port)"),
+    "search: if outside rules": ("search", "outcome: $x = if(target.port > 1, 1, 2)"),
+    "search: outcome that isn't matched": ("search", "match: target.port outcome: $x = principal.hostname"),
+    "search: right": ("search", "match: target.port outcome: $x = count(principal.hostname)"),
+    "rule: variable of no event": ("rule", '$a.metadata.id = "1" condition: $b'),
+    "rule: events without a link": ("rule", '$a.metadata.id = "1" $b.metadata.id = "2" condition: $a and $b'),
+    "rule: link that is no equality": ("rule", "$a.target.port > $b.target.port condition: $a and $b"),
+    "rule: undefined match variable": ("rule", '$a.metadata.id = "1" match: $u over 1h condition: $a'),
+    "rule: two arguments of if": ("rule", '$a.metadata.id = "1" outcome: $n = if($a.metadata.id > 1, 2) condition: $a'),
+    "rule: unknown function": ("rule", '$a.metadata.id = "1" outcome: $n = concat($a.metadata.id) condition: $a'),
+    "rule: options": ("rule", '$a.metadata.id = "1" condition: $a options: suppression_window = 5m'),
+    "rule: graph": ("rule", '$a.graph.entity.hostname = "x" condition: $a'),
+    "rule: right": ("rule", '$a.metadata.id = "1" condition: $a'),
+    "parser: unknown target": ("parser", f'filter {{ mutate {{ replace => {{ "{U}.principal.nothing" => "x" }} }} }}'),
+    "parser: no member of the enum": ("parser", f'filter {{ mutate {{ replace => {{ "{U}.metadata.event_type" => "NO_SUCH" }} }} }}'),
+    "parser: xml": ("parser", 'filter { xml { source => "message" } }'),
+    "parser: not closed": ("parser", "filter { mutate { "),
+    "parser: right": ("parser", f"filter {{ {GENERIC} {OUT} }}"),
+}
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which programs of ``REFUSED`` don't compile."""
+    found = []
+    for name, (dialect, text) in REFUSED.items():
+        try:
+            if dialect == "search":
+                search(text, spark, SCHEMA, None, table_events(spark, sf_dir))
+            elif dialect == "rule":
+                run_rule(f"rule r {{ events: {text} }}", spark, SCHEMA, None, table_events(spark, sf_dir))
+            else:
+                parse_logs(text, log_lines(spark, sf_dir, "csv"), SCHEMA)
+            found.append((name, False))
+        except (CompileError, ExecutionError, SyntaxProblem):
+            found.append((name, True))
+    return spark.createDataFrame(found, "program string, refused boolean")
+
+
+QUERIES["refused_programs"] = refused
+ORACLES["refused_programs"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', {not n.endswith(': right')})" for n in REFUSED) + ") x(program, refused)"
+
+#: Fields of the schema, with their types, and whether they are repeated and enums.
+FIELDS = {
+    "metadata.event_type": ("Metadata.EventType", False, True), "metadata.id": ("string", False, False), "principal.ip": ("string", True, False),
+    "target.port": ("int32", False, False), "security_result.action": ("SecurityResult.Action", True, True), "extensions.value": ("double", False, False),
+}
+
+
+def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [SCHEMA.lookup(path) for path in FIELDS]
+    return spark.createDataFrame([(f.path, f.type, f.repeated, f.enum) for f in found], "path string, type string, repeated boolean, is_enum boolean")
+
+
+QUERIES["schema_fields"] = schema_fields
+ORACLES["schema_fields"] = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{t}', {r}, {e})" for p, (t, r, e) in FIELDS.items()) + ") x(path, type, repeated, is_enum)"

@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.errors import CompileError
-from tracelight.functions.paths import asked_of, exists, single
+from tracelight.functions.paths import asked_of, exists, single, texts_of
 from tracelight.functions.schema import Field, Schema
 from tracelight.functions.values import Node, literal_as, literal_text
 from tracelight.plans.nodes import All, Call, Comparison, Either, ListColumn, Not, Path, Placeholder, Value
@@ -31,8 +31,15 @@ class Context:
     base: Node
     placeholders: dict[str, Any] = field(default_factory=dict)
     parameters: dict[str, str] = field(default_factory=dict)
-    #: values of a reference list's column
-    list_values: Callable[[str, str | None], Sequence[str]] = lambda name, column: ()
+    #: values of a reference list's column, or a table of them where they are many
+    list_values: Callable[[str, str | None], Sequence[str] | DataFrame] = lambda name, column: ()
+    #: the events that a condition is put to
+    rows: DataFrame | None = None
+
+    def holding(self, rows: DataFrame, asked: Any) -> DataFrame:
+        """The rows that a condition holds for."""
+        self.rows = rows
+        return rows.where(condition(asked, self))
 
 
 @dataclass
@@ -136,15 +143,38 @@ def in_list(x: Comparison, context: Context) -> Column:
     if not isinstance(x.left, Path):
         raise CompileError("in takes a field on its left")
     # without a column nothing is in the list
-    values = list(context.list_values(x.right.name, x.right.column)) if x.right.column else []
+    values = context.list_values(x.right.name, x.right.column) if x.right.column else ()
+
+    def text(value: Node, found: Field | None) -> Column:
+        return value.cast(found.kind if found else "string").cast("string")
+
+    if isinstance(values, DataFrame):
+        return in_table(x.left, values, text, context)
+    listed = list(values)
 
     def leaf(value: Node, found: Field | None) -> Column:
-        text = value.cast(found.kind if found else "string").cast("string")
-        return F.coalesce(text.isin(values), F.lit(False)) if values else F.lit(False)
+        return F.coalesce(text(value, found).isin(listed), F.lit(False)) if listed else F.lit(False)
 
     return asked_of(x.left, context.schema, context.base, leaf)
 
 
+def in_table(asked: Path, values: DataFrame, text: Callable[[Node, Field | None], Column], context: Context) -> Column:
+    """Whether a value of the field is in the one column of ``values``: a semi-join, so that a list of any size stays on the executors.
+
+    Of a field with several values, the distinct arrays that hold a listed one are found by a join on their elements.
+    """
+    texts, several = texts_of(asked, context.schema, context.base, text)
+    if not several:
+        return F.coalesce(texts[0].isin(values), F.lit(False))
+    if context.rows is None:
+        raise CompileError("a large reference list is asked of events only")
+    whole = F.array_distinct(texts)
+    [name] = values.columns
+    arrays = context.rows.select(whole.alias("held")).distinct().select("held", F.explode("held").alias("one"))
+    hits = arrays.join(values, F.col("one") == values[name], "left_semi").select("held").distinct()
+    return F.coalesce(whole.isin(hits), F.lit(False))
+
+
 def condition(x: Any, context: Context) -> Column:
     if isinstance(x, All):
         return reduce(operator.and_, [condition(t, context) for t in x.terms])

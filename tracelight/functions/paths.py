@@ -23,8 +23,17 @@ from tracelight.plans.nodes import Key, Path
 Leaf = Callable[[Node, Field | None], Column]
 
 
-def walk(steps: tuple, schema: Schema, base: Node, leaf: Leaf, within: tuple[str, ...] = ()) -> Column:
-    """``leaf`` asked of the value at the end of a path.
+#: Puts together what is asked of each element of an array.
+Over = Callable[[Column, Callable[[Column], Column]], Column]
+
+
+def any_of(values: Column, ask: Callable[[Column], Column]) -> Column:
+    """Whether it holds for an element: not for any of no elements, nor for a missing field."""
+    return F.coalesce(F.exists(values, lambda x: ask(x)), F.lit(False))
+
+
+def walk(steps: tuple, schema: Schema, base: Node, leaf: Leaf, within: tuple[str, ...] = (), over: Over = any_of) -> Column:
+    """``leaf`` asked of the value at the end of a path; of each element of a repeated field, put together by ``over``.
 
     Names are checked against the schema as long as the path is inside it;
     what stands behind a key isn't, and is text. ``within`` is the path of ``base`` itself.
@@ -63,10 +72,9 @@ def walk(steps: tuple, schema: Schema, base: Node, leaf: Leaf, within: tuple[str
             values, kind = at.elements()
 
             def of_element(x: Column, field: Field = field, kind=kind) -> Column:
-                return walk(rest, schema, Node(x, kind), leaf, inside) if rest else leaf(Node(x, kind), field)
+                return walk(rest, schema, Node(x, kind), leaf, inside, over) if rest else leaf(Node(x, kind), field)
 
-            # none of no elements, and of a missing field
-            return F.coalesce(F.exists(values, lambda x: of_element(x)), F.lit(False))
+            return over(values, of_element)
     return leaf(at, schema.lookup(".".join(names)) if names else None)
 
 
@@ -77,6 +85,20 @@ def asked_of(path: Path, schema: Schema, base: Node, leaf: Leaf) -> Column:
     return walk(path.steps, schema, base, leaf)
 
 
+def texts_of(path: Path, schema: Schema, base: Node, text: Leaf) -> tuple[Column, bool]:
+    """``text`` of all values of a field, or of those that a grouped name stands for, as an array, and whether they may be several."""
+    grouped = len(path.steps) == 1 and path.steps[0] in GROUPED
+    several = [grouped]
+
+    def each(values: Column, ask: Callable[[Column], Column]) -> Column:
+        several.append(True)
+        return F.coalesce(F.flatten(F.transform(values, lambda x: ask(x))), F.array().cast("array<string>"))
+
+    paths = [tuple(p.split(".")) for p in GROUPED[path.steps[0]]] if grouped else [path.steps]
+    found = [walk(p, schema, base, lambda value, field: F.array(text(value, field)), over=each) for p in paths]
+    return (F.concat(*found) if grouped else found[0]), any(several)
+
+
 def exists(value: Node, field: Field | None) -> Column:
     """Whether a field is there and not empty."""
     text = value.text()

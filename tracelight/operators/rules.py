@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
-from tracelight.functions.conditions import OPERATORS, Context, condition, literal_value, operand
+from tracelight.functions.conditions import OPERATORS, Context, literal_value, operand
 from tracelight.functions.schema import Schema
 from tracelight.functions.paths import single, walk
 from tracelight.plans.nodes import (
@@ -214,7 +214,7 @@ class Compiler:
         terms = self.variables.filters[name]
         rows = self.events
         if terms:
-            rows = rows.where(condition(terms[0] if len(terms) == 1 else All(tuple(terms)), self.context))
+            rows = self.context.holding(rows, terms[0] if len(terms) == 1 else All(tuple(terms)))
         columns = [F.lit(True).alias(f"{name}__seen")]
         if name in self.counted:
             columns.append(self.identity.alias(f"{name}__event"))
@@ -285,7 +285,7 @@ class Compiler:
             terms = self.variables.filters[name]
             there = self.events
             if terms:
-                there = there.where(condition(terms[0] if len(terms) == 1 else All(tuple(terms)), self.context))
+                there = self.context.holding(there, terms[0] if len(terms) == 1 else All(tuple(terms)))
             # one row at most, which rules everything out
             rows = rows.join(F.broadcast(there.limit(1).select(F.lit(1).alias("there"))), F.lit(True), "left_anti")
         return rows, gates
@@ -434,7 +434,7 @@ def compile_rule(
     events: DataFrame | View,
     schema: Schema | None = None,
     parameters: dict[str, str] | None = None,
-    lists: Callable[[str, str | None], Sequence[str]] | None = None,
+    lists: Callable[[str, str | None], Sequence[str] | DataFrame] | None = None,
     floor_buckets: bool = False,
 ) -> DataFrame:
     """The rule's detections over an event relation: match fields, then outcomes; ``matches`` where it has neither.

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tracelight.errors import CompileError
 from tracelight.functions.aggregates import aggregate
-from tracelight.functions.conditions import Context, condition, operand
+from tracelight.functions.conditions import Context, operand
 from tracelight.functions.schema import Schema
 from tracelight.plans.nodes import Call, OrderItem, Path, Placeholder, Query, Value
 from tracelight.plans.query import parse
@@ -39,7 +39,7 @@ def compile_query(
     events: DataFrame | View,
     schema: Schema | None = None,
     parameters: dict[str, str] | None = None,
-    lists: Callable[[str, str | None], Sequence[str]] | None = None,
+    lists: Callable[[str, str | None], Sequence[str] | DataFrame] | None = None,
 ) -> DataFrame:
     """The query's result over an event relation, ``name``, ``event`` and ``v`` (a variant) or ``doc`` (a struct).
 
@@ -53,7 +53,7 @@ def compile_query(
     context = Context(schema or Schema.builtin(), view.document, query.placeholders, parameters or {})
     if lists is not None:
         context.list_values = lists
-    rows = view.rows if query.condition is None else view.rows.where(condition(query.condition, context))
+    rows = view.rows if query.condition is None else context.holding(view.rows, query.condition)
     if query.match or query.outcome:
         return grouped(query, rows, context)
     orders = [ordering(named(o.value, context)[0], o) for o in query.order]

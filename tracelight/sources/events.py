@@ -14,6 +14,7 @@ import os
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -151,21 +152,34 @@ def load_events(spark: SparkSession, source: Any, table: str = EVENTS) -> int:
     return len(rows)
 
 
-def load_reference_list(spark: SparkSession, list_name: str, column_name: str, values: Iterable[Any], table: str = LISTS) -> None:
-    """Makes the values, as text, a reference list's column in place of what it was."""
-    new = spark.createDataFrame([(list_name, column_name, str(v)) for v in values], LIST_COLUMNS)
-    if spark.catalog.tableExists(table):
-        old = spark.table(table).where(~((F.col("list_name") == list_name) & (F.col("column_name") == column_name)))
-        new = old.unionByName(new)
-    new.createOrReplaceTempView(table)
+#: The columns that were loaded in a session, by the lists' table and then by list and column; under None what the table held before.
+_LOADED: dict[tuple[str, str], dict[tuple[str, str] | None, DataFrame]] = {}
 
 
-def list_values(spark: SparkSession, name: str, column: str | None, table: str = LISTS, limit: int = 200_000) -> Sequence[str]:
-    """The values of a list's column; none if no list was ever loaded. They become a hash set in the plan, hence the limit."""
+def load_reference_list(spark: SparkSession, list_name: str, column_name: str, values: Iterable[Any] | DataFrame, table: str = LISTS) -> None:
+    """Makes the values, as text, a reference list's column in place of what it was; a DataFrame's first column for lists that don't fit the driver."""
+    if isinstance(values, DataFrame):
+        new = values.select(F.lit(list_name).alias("list_name"), F.lit(column_name).alias("column_name"), F.col(f"`{values.columns[0]}`").cast("string").alias("value"))
+    else:
+        new = spark.createDataFrame([(list_name, column_name, str(v)) for v in values], LIST_COLUMNS)
+    loaded = _LOADED.setdefault((spark.sparkContext.applicationId, table), {})
+    if not loaded and spark.catalog.tableExists(table):
+        loaded[None] = spark.table(table)
+    if None in loaded:
+        loaded[None] = loaded[None].where(~((F.col("list_name") == list_name) & (F.col("column_name") == column_name)))
+    loaded[list_name, column_name] = new
+    reduce(DataFrame.unionByName, loaded.values()).createOrReplaceTempView(table)
+
+
+#: Values of a list that stand in a plan as a hash set, at most; a longer list is joined.
+INLINE = 10_000
+
+
+def list_values(spark: SparkSession, name: str, column: str | None, table: str = LISTS, inline: int = INLINE) -> Sequence[str] | DataFrame:
+    """The values of a list's column, or a table of them if there are more than ``inline``; none if no list was ever loaded."""
     if column is None or not spark.catalog.tableExists(table):
         return ()
-    rows = spark.table(table).where((F.col("list_name") == name) & (F.col("column_name") == column)).select("value").distinct()
-    found = [r[0] for r in rows.limit(limit + 1).collect() if r[0] is not None]
-    if len(found) > limit:
-        raise ValueError(f"the reference list %{name}.{column} has more than {limit} values")
-    return found
+    rows = spark.table(table).where((F.col("list_name") == name) & (F.col("column_name") == column)).select("value")
+    rows = rows.where("value IS NOT NULL").distinct()
+    found = [r[0] for r in rows.limit(inline + 1).collect()]
+    return found if len(found) <= inline else rows
