@@ -139,28 +139,34 @@ def small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+#: Links that one task takes by itself, at most; with more, every step is an exchange.
+FEW_LINKS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(src, dst)``: one row ``(node, root)`` per linked node, root the smallest node.
 
     Alternates the large-star and small-star steps, each a pre-aggregated
     ``min`` and an equi-join on the node, so a node with very many links is
-    split by AQE's skew join. Rounds are cut with ``checkpoint()``, and each
+    split by AQE's skew join; while there are no more links than ``FEW_LINKS``, a round is one
+    task without an exchange. Rounds are cut with ``checkpoint()``, and each
     one's files go once the next has been written; their
     number is logarithmic in the longest chain. Self-loops, repeated links and
     nulls are ignored; no links give no rows.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    e = cut(e.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    e = cut(e.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("u") != F.col("v"))))
     seen = None
     while True:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen or state[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        few = (lambda df: df.coalesce(1)) if state[0] <= FEW_LINKS else (lambda df: df)
         seen, before = state, e
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(e).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        each = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        e = cut(each.where("u <> v").distinct())
         discard(before)
