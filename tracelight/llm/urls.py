@@ -82,20 +82,31 @@ class Level:
     seed: int
     words: tuple[int, ...]
 
-    def positions(self, key: Column) -> list[Column]:
+    def ends(self, key: Column) -> tuple[Column, Column]:
         a, b = (F.pmod(F.xxhash64(key, F.lit(s)), F.lit(self.bits)) for s in (self.seed, -self.seed))
-        return [F.pmod(a + b * i, F.lit(self.bits)) for i in range(self.hashes)]
+        return a, b
+
+    def position(self, a: Column, b: Column, i: Column | int) -> Column:
+        return F.pmod(a + b * i, F.lit(self.bits))
+
+    def positions(self, key: Column) -> list[Column]:
+        a, b = self.ends(key)
+        return [self.position(a, b, i) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
         if not self.words:
             return F.lit(False)
-        # a constant either way; the text form keeps the plan of a long filter small
+        # a constant either way, and one in the whole test; the text form keeps the plan of a long filter small
         words = F.array(*[F.lit(w) for w in self.words]) if len(self.words) < 64 else F.from_json(F.lit(str(list(self.words))), "array<bigint>")
-        test = F.lit(True)
-        for p in self.positions(key):
+
+        def is_set(p: Column) -> Column:
             word = F.get(words, F.shiftright(p, 6).cast("int"))
-            test = test & (F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return test
+            return F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        a, b = self.ends(key)
+        steps = F.array(*[F.lit(i) for i in range(self.hashes)])
+        # the key is hashed twice, whatever the number of positions
+        return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda e: F.forall(steps, lambda i: is_set(self.position(e["a"], e["b"], i))))
 
 
 def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
@@ -126,14 +137,22 @@ def contains(levels: Sequence[Level], key: Column) -> Column:
     return out
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str], seed: int, max_keys: int) -> list[Level]:
-    """Levels that tell the ``listed`` keys from all other rows of ``universe(key)`` without an error."""
+def distinct_keys(universe: DataFrame) -> int:
+    return universe.agg(F.approx_count_distinct("key")).first()[0]
+
+
+def build_cascade(universe: DataFrame, listed: Sequence[str], seed: int, max_keys: int, n_all: int | None = None) -> list[Level]:
+    """Levels that tell the ``listed`` keys from all other rows of ``universe(key)`` without an error.
+
+    ``n_all``, about the number of its distinct keys, sets the first level's size only; it is counted if not given.
+    """
     if len(listed) > max_keys:
         raise ValueError(f"{len(listed)} keys listed; max_keys is {max_keys}")
     spark = universe.sparkSession
     inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
     n_in = len(set(listed))
-    n_all = universe.agg(F.approx_count_distinct("key")).first()[0]
+    if n_all is None:
+        n_all = distinct_keys(universe)
     rate = min(0.5, max(1e-9, n_in / max(1, n_all)))
     levels = [build_level(inside, n_in, rate, seed)]
     # few keys pass level 1: the list and about as many others
@@ -166,12 +185,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str =
     allow = {h + p for v, h, p in rules if v == "allow"}
     block = {h + p for v, h, p in rules if v == "block"} - allow
     universe = keyed.select(F.explode("keys").alias("key"))
-    allowed, blocked = (build_cascade(universe, sorted(s), seed + 1000 * i, max_keys) if s else [] for i, s in enumerate((allow, block)))
+    n_all = distinct_keys(universe)
+    allowed, blocked = (build_cascade(universe, sorted(s), seed + 1000 * i, max_keys, n_all) if s else [] for i, s in enumerate((allow, block)))
     hit_a, hit_b = (lambda k, c=c: contains(c, k) if c else F.lit(False) for c in (allowed, blocked))
-    found = F.transform(
-        F.filter(F.col("keys"), lambda k: hit_a(k) | hit_b(k)),
-        lambda k: F.struct(k.alias("rule"), F.when(hit_a(k), F.lit("allow")).otherwise(F.lit("block")).alias("verdict")),
-    )
+    verdict = lambda k: F.when(hit_a(k), F.lit("allow")).when(hit_b(k), F.lit("block"))
+    judged = F.transform(F.col("keys"), lambda k: F.struct(k.alias("rule"), verdict(k).alias("verdict")))
+    found = F.filter(judged, lambda x: x["verdict"].isNotNull())
     return keyed.withColumn("best", F.get(found, F.lit(0))).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
