@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import WORD, cut, table, unused, with_ids
+from tracelight.llm.common import WORD, cut, stored, table, unused, with_ids
 
 #: Weights that the sources take in turn, in order of their names.
 WEIGHTS = (1, 2, 3)
@@ -69,10 +69,12 @@ def mix(
     source without words has target 0; null is a source of its own; rows that
     repeat with the same id and text are drawn alike, rows that share an id or have none by their texts; no rows give no rows; extra columns are ignored.
     """
-    sizes = with_ids(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    draw = uniform(seed, "doc_id", F.md5(F.col("text").cast("binary")))
+    # narrow rows, kept, so that whole texts are read and counted once
+    sizes = stored(with_ids(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size"), draw.alias("draw")))
     rates = source_targets(sizes, weights, max_repeat).withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(uniform(seed, "doc_id", F.col("digest")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return (
         sizes.join(rates, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
