@@ -227,6 +227,12 @@ def test_normalised_text():
     assert not len(langid.normalised("12 !?")) and not len(langid.normalised(None)) and not len(langid.normalised(""))
 
 
+def test_the_languages_with_the_most_rows_are_learnt(spark):
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 40}") for i in range(100)] + [(100, "x", "z"), (101, "x", None)], "doc_id long, text string, lang string")
+    assert {r.lang for r in langid.sample(docs, max_languages=3).collect()} == {"l0", "l1", "l10"}
+    assert {r.lang for r in langid.sample(docs).collect()} == {f"l{i}" for i in range(40)} | {"z"}
+
+
 def test_buckets_are_the_same_in_pieces():
     codes = langid.normalised("a long enough text to be cut into several pieces, ßé漢")
     whole = np.sort(np.concatenate(list(langid.buckets(codes))))

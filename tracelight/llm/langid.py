@@ -178,17 +178,16 @@ def calibrate(model: Model, held: list[tuple[str, int]], reject_share: float = R
         model.threshold = min(0.5, float(right[int(reject_share * len(right))]))
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 3) -> DataFrame:
+def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 3, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """About ``per_language`` rows ``doc_id``, ``text``, ``lang`` of each language, chosen by a hash of the id: a bounded sample for the driver.
 
+    Of more than ``max_languages`` languages, those with the most rows are learnt (of two with as many, the lesser name).
     Of rows with the same id, however many, one is taken: that of the least text.
     """
     rows = with_ids(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= SAMPLE_CHARS)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     limits = {r["lang"]: min(1.0, per_language / r["n"]) for r in counts.collect()}
-    if len(limits) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not limits:
         return rows.limit(0)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
