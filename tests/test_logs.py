@@ -135,6 +135,12 @@ def test_time_zones_and_rebasing():
     assert run_program(f"filter {{ {TYPE} {OUT} }}", [{"message": "", "@timestamp": "2020-01-01T00:00:00Z"}])[0]["metadata"]["event_timestamp"] == "2020-01-01T00:00:00Z"
 
 
+def test_leap_days_are_rebased_to_the_year_of_each_message():
+    program = f'filter {{ {TYPE} date {{ match => ["message", "MMM dd"] rebase => true on_error => "none" }} {OUT} }}'
+    found = run_program(program, [{"message": "Feb 29", "@createTimestamp": f"{y}-03-01T00:00:00Z"} for y in (2024, 2028, 2025)])
+    assert [e["metadata"].get("event_timestamp") for e in found] == ["2024-02-29T00:00:00Z", "2028-02-29T00:00:00Z", None]
+
+
 @pytest.mark.parametrize(
     "test, holds",
     [

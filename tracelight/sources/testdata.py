@@ -68,7 +68,10 @@ def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def log_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """``message``: a line per row of a test table. Kinds: csv and kv (orders), json (events), syslog (events) and base64 (customers)."""
+    """``message``: a line per row of a test table. Kinds: csv and kv (orders), json (events), syslog (events) and base64 (customers).
+
+    Syslog lines have no year and come with the time that they were received at; what isn't known is ``-`` in them.
+    """
     if kind in ("csv", "kv"):
         o = spark.read.parquet(f"{sf_dir}/orders.parquet")
         day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
@@ -92,10 +95,12 @@ def log_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
                 )
             ).alias("message")
         )
-    time = F.date_format("ts", "MMM dd HH:mm:ss")
-    action = F.when(F.col("event_type") == "error", "Denied").otherwise("Accepted")
+    known = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    user, number = F.col("user_id"), F.col("event_id")
     line = F.format_string(
-        "%s gw-%d: FW-%d: %s connection TCP 10.1.0.%d/%d to 10.0.0.%d/443",
-        time, F.col("user_id") % 7, F.col("event_id"), action, F.col("user_id"), F.col("event_id") % 60000 + 1024, F.col("event_id") % 250,
+        "%s gw-%s: FW-%s: %s connection TCP %s/%s to %s/443",
+        known(F.date_format("ts", "MMM dd HH:mm:ss")), known(user % 7), known(number),
+        F.when(F.col("event_type") == "error", "Denied").otherwise("Accepted"), known(F.concat(F.lit("10.1.0."), user)),
+        known(number % 60000 + 1024), known(F.concat(F.lit("10.0.0."), number % 250)),
     )
-    return e.select(line.alias("message"))
+    return e.select(line.alias("message"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@createTimestamp"))
